@@ -86,7 +86,7 @@ def word_count(text: Column) -> Column:
 def salted_rank(df: DataFrame, group: list[str], order: list[str], salt: Column, out: str) -> DataFrame:
     """Gapless rank from 0 within group, dealt over salts, so that no group has to meet in one task.
 
-    Rows go by (salt, order). The counts by group and salt are small; their running sums give each salt its offset.
+    Groups are not null. Rows go by (salt, order). The counts by group and salt are small; their running sums give each salt its offset.
     """
     rows = df.withColumn("_salt", salt)
     counts = rows.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
@@ -97,7 +97,7 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], salt: Column,
     same = None
     left, right = ranked.alias("r"), offsets.alias("o")
     for c in [*group, "_salt"]:
-        one = F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
+        one = F.col(f"r.{c}") == F.col(f"o.{c}")
         same = one if same is None else same & one
     return left.join(right, same).select("r.*", F.col("o._before").alias("_before")).withColumn(out, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_salt")
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .minhash import near_duplicates
+from .mixing import mix_sources
+from .sharding import shard_documents
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -35,10 +37,55 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most_repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mix_sql(passes: int) -> str:
+    """The mix by running sums over documents in the order of their hashes."""
+    steps = ["""p0 AS (SELECT *, CASE WHEN base >= 3 THEN 0 ELSE budget END AS room, false AS got FROM d)"""]
+    for k in range(passes):
+        steps.append(f"""c{k} AS (SELECT *, sum(CASE WHEN NOT got AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) AS cum FROM p{k})""")
+        steps.append(f"""g{k} AS (SELECT * EXCLUDE (cum, got), got OR (room > 0 AND size <= room AND cum <= room) AS got, NOT got AND room > 0 AND size <= room AND cum <= room AS fresh FROM c{k})""")
+        steps.append(f"""p{k + 1} AS (SELECT * EXCLUDE (room, fresh), room - coalesce(sum(size) FILTER (WHERE fresh) OVER (PARTITION BY source), 0) AS room FROM g{k})""")
+    return f"""
+WITH w AS (
+  SELECT doc_id, source, substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS h,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM w GROUP BY source
+), r AS (
+  SELECT *, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 3.0::DOUBLE AS cap FROM s
+), o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    (sum(source_size) OVER ())::DOUBLE AS total FROM r
+), l AS (SELECT *, (total - full_) / rest AS level FROM o
+), t AS (SELECT source, source_size, least(cap, (SELECT min({{'a': cap / w, 'b': level}}).b FROM l WHERE level <= cap / w) * w) AS target FROM l
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS base FROM t
+), d AS (
+  SELECT w.*, b.source_size, b.target, b.base, floor(b.target - b.base * b.source_size)::BIGINT AS budget
+  FROM w JOIN b ON w.source IS NOT DISTINCT FROM b.source
+), {", ".join(steps)}
+SELECT doc_id, size, source_size, target, ((base + CASE WHEN got THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM p{passes}
+"""
+
+
+OP1_SQL = _mix_sql(3)
+
+
+def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op9_minimax_shards": op9_minimax_shards,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
     "op10_minhash_dedup": OP10_SQL,
 }
