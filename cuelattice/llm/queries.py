@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitpack import token_files
 from .common import read_table
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
+from .secrets import scan_secrets
 from .sharding import shard_documents
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -79,8 +82,30 @@ def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def word_bpe() -> str:
+    """The tokenizer file that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), word_bpe(), sequence_length=2048, end_id=0)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read_table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_pack_sequences": op3_pack_sequences,
+    "op4_secret_scan": op4_secret_scan,
+    "op7_token_files": op7_token_files,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
