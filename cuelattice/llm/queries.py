@@ -11,6 +11,7 @@ from .common import read_table
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import RULES, STOP_WORDS, judge_quality
 from .secrets import scan_secrets
 from .sharding import shard_documents
 
@@ -97,6 +98,37 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _quality_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words}))
+    fails = " OR ".join(f"100 * {r.part} {'<' if r.below else '>'} {r.percent} * {r.whole}" for r in RULES)
+    return f"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), l AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w
+), g AS (
+  SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+), t AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1
+), r AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS k FROM t) GROUP BY rid
+), f AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    len(list_filter(ws, lambda x: lower(x) IN ({stops})))::BIGINT AS n_stop_words, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM l LEFT JOIN r USING (rid)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept FROM b
+"""
+
+
+OP5_SQL = _quality_sql()
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
 
@@ -105,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_minhash_dedup": op10_minhash_dedup,
@@ -112,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
     "op10_minhash_dedup": OP10_SQL,
 }
