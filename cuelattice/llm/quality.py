@@ -30,13 +30,14 @@ class Rule:
     below: bool = False
 
 
-#: The threshold table. Columns: n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines.
+#: The threshold table. Columns: n_words, word_chars, n_symbols, n_stop_words, n_echo_words, n_lines, n_dup_lines.
 RULES = (
     Rule("words_too_short", "word_chars", "n_words", 200, below=True),
     Rule("words_too_long", "word_chars", "n_words", 1500),
     Rule("symbols", "n_symbols", "n_words", 25),
     Rule("no_stop_words", "n_stop_words", "n_words", 2, below=True),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 30),
+    Rule("echoes", "n_echo_words", "n_words", 20),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 50),
 )
 
 
@@ -67,7 +68,7 @@ def _covered(windows: Column, width: int) -> Column:
 
 
 def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS) -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words), row by row.
+    """(id_col, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_echo_words, n_repeat_words), row by row.
 
     Words are [^\\x20\\x09-\\x0D]+. Null and empty texts count nothing.
     """
@@ -75,11 +76,11 @@ def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every = sorted({w for words in stop_words.values() for w in words})
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.select("id", F.filter(F.split("text", WORD_BREAK), lambda w: w != "").alias("ws"), F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
-    rows = rows.select("id", "n_symbols", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size(F.filter("ws", lambda w: F.lower(w).isin(every))).cast("long").alias("n_stop_words"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hw"))
+    rows = rows.select("id", "n_symbols", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size(F.filter("ws", lambda w: F.lower(w).isin(every))).cast("long").alias("n_stop_words"), F.size(F.filter("ws", lambda w, i: (i > 0) & (w == F.get("ws", i - 1)))).cast("long").alias("n_echo_words"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hw"))
     windows = F.when(F.size("hw") >= width, F.transform(F.sequence(F.lit(0), F.size("hw") - width), lambda i: F.xxhash64(*[F.get(F.col("hw"), i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select("id", "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_stop_words", windows.alias("h"))
+    rows = rows.select("id", "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_stop_words", "n_echo_words", windows.alias("h"))
     repeat = F.when(F.size(F.array_distinct("h")) < F.size("h"), _repeated(F.col("h"), width)).otherwise(F.lit(0).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", repeat.alias("n_repeat_words"))
+    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_echo_words", repeat.alias("n_repeat_words"))
 
 
 def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least_words: int = 20, repeat_percent: int = 30) -> DataFrame:

@@ -119,7 +119,8 @@ WITH w AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    len(list_filter(ws, lambda x: lower(x) IN ({stops})))::BIGINT AS n_stop_words, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+    len(list_filter(ws, lambda x: lower(x) IN ({stops})))::BIGINT AS n_stop_words,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_echo_words, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM l LEFT JOIN r USING (rid)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept FROM b
