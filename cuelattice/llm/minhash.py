@@ -10,8 +10,9 @@ documents therefore share at least o retained values, where o is chosen so that
 the fewest documents retain: one of the shared values is among them. Values of common passages stay out of the lists
 in this way, without any cap.
 
-Groups of copies never meet in all pairs: equal sets are one class from the start, and each list first compares its
-members with one pivot. Only what is not in one component after these rounds is compared pair by pair, in full.
+Groups of copies never meet in all pairs: equal sets are one class from the start, and the members of long lists are
+listed anew by their full sets, by size and place, where each list first compares its members with one pivot. Only what
+is not in one component after that is compared pair by pair, in full.
 """
 
 from __future__ import annotations
@@ -140,6 +141,42 @@ def _verify_batches(num: int, den: int):
     return run
 
 
+def _keyed_lists(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Inverted lists of full sets (id, n, items), keyed so that only sets that could be linked by size and place meet.
+
+    A set's values are ordered from those the fewest sets hold. Two linked sets of n and m values share at least
+    a = ceil(num / (num + den) * (n + m)), so one of their first n - a + 1 and m - a + 1 values. Sizes fall into bands of
+    4 %: a set is listed for each band that a partner may lie in under (value, the two bands) if its place is early
+    enough for the smallest partner there. Rows: v, b1, b2, own (the set's band), id, n, at (place), alone (values that no
+    other set holds).
+    """
+    values = sets.mapInArrow(_explode_batches, "id long, n long, v long")
+    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = values.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    least = F.ceil(F.col("n") * num / den)
+    ordered = ordered.withColumn("alone", F.col("n") - F.size("vs"))
+    early = F.slice("vs", F.lit(1), F.greatest(F.lit(0), F.col("n") - least + 1 - F.col("alone")).cast("int"))["v"]
+    band = lambda n: F.floor(F.log(n) / F.lit(math.log(1.04))).cast("int")
+    rows = ordered.select("id", "n", "alone", least.alias("least"), band(F.col("n")).alias("own"), F.posexplode(early).alias("k", "v"))
+    rows = rows.withColumn("at", F.col("alone") + F.col("k"))
+    rows = rows.withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.floor(F.col("n") * den / num) + 1))))
+    smallest = F.greatest(F.floor(F.pow(F.lit(1.04), F.col("band"))), F.col("least"))
+    rows = rows.where(F.col("at") <= F.col("n") - F.ceil((F.col("n") + smallest) * num / (num + den)))
+    rows = rows.select("v", F.least("own", "band").alias("b1"), F.greatest("own", "band").alias("b2"), "own", "id", "n", "at", "alone")
+    met = rows.groupBy("v", "b1", "b2").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo = b1 and hi = b2 and c > 1")
+    return rows.join(met.select("v", "b1", "b2"), ["v", "b1", "b2"], "left_semi")
+
+
+def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.schema.names
+        ids, n, items = batch.column(names.index("id")), batch.column(names.index("n")), batch.column(names.index("items"))
+        for lo in range(0, len(ids), 500):
+            values = [np.frombuffer(x.as_buffer(), np.int64) for x in items.slice(lo, 500)]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(x) for x in values]))
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, 500).take(at), n.slice(lo, 500).take(at), pa.array(np.concatenate(values))], ["id", "n", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of the edges (a, b): comp is the smallest id reachable.
 
@@ -159,7 +196,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: tuple[int, int] = (80, 100), sketch_size: int = 64, pivot_rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: tuple[int, int] = (80, 100), sketch_size: int = 64, short_list: int = 24, pivot_rounds: int = 6) -> DataFrame:
     """One row per input row: (id_col, n_shingles, component_id, kept).
 
     Documents are linked if the Jaccard similarity of their shingle sets is at least num/den. component_id is the
@@ -206,33 +243,46 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
         return likely.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify_batches(num, den), "a long, b long")
 
+    # Short lists give all their pairs. The members of the others are listed anew, by their full sets.
     close = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
-    current, tested, comps = lists, None, None
+    sized = lists.join(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v")
+    short = sized.where(F.col("c") <= short_list)
+    x, y = short.select("v", F.col("id").alias("a"), F.col("n").alias("na")), short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"))
+    tested = materialize(x.join(y, "v").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct())
+    links = links.union(materialize(verified(tested)))
+    crowd = sized.where(F.col("c") > short_list).select("id", "n").distinct()
+    keyed = materialize(_keyed_lists(sets.join(crowd, "id"), num, den))
+
+    comps = None
     for turn in range(pivot_rounds + 1):
-        if comps is not None:
-            current = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            open_lists = current.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own")).where("all * all > own")
-            todo = open_lists.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
+        if turn == 0:
+            current, last = keyed.withColumn("comp", F.col("id")), False
+            first = F.struct(F.col("alone") / F.col("n"), "id")  # a member that has the fewest words of its own stands nearest to all
+        else:
+            current = keyed.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            sums = current.groupBy("v", "b1", "b2", "comp").agg(F.sum(F.when(F.col("own") == F.col("b1"), 1).otherwise(0)).alias("l"), F.sum(F.when(F.col("own") == F.col("b2"), 1).otherwise(0)).alias("r"))
+            keys = sums.groupBy("v", "b1", "b2").agg((F.sum("l") * F.sum("r") - F.sum(F.col("l") * F.col("r"))).alias("todo"), F.sum(F.col("l") + F.col("r")).alias("rows")).where("todo > 0")
+            todo = keys.agg(F.sum("todo"), F.sum("rows")).first()
             if not todo[0]:
                 break
-            current = current.join(open_lists.select("v"), "v", "left_semi")
+            current = current.join(keys.select("v", "b1", "b2"), ["v", "b1", "b2"], "left_semi")
             last = turn == pivot_rounds or todo[0] <= 4 * todo[1]
-        else:
-            current, last = current.withColumn("comp", F.col("id")), False
-        y = current.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            first = F.xxhash64("id", F.lit(turn))
+        who = F.struct(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("comp").alias("cx"))
+        x = current.select("v", "b1", "b2", F.col("own").alias("ox"), who.alias("p"))
+        if not last:
+            x = current.groupBy("v", "b1", "b2", F.col("own").alias("ox")).agg(F.min_by(who, first).alias("p"))
+        x = x.select("v", "b1", "b2", "ox", "p.*")
+        y = current.select("v", "b1", "b2", "own", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("comp").alias("cy"))
+        share = F.ceil((F.col("nx") + F.col("ny")) * num / (num + den))
+        reach = (F.col("nx") - F.col("ix") >= share) & (F.col("ny") - F.col("iy") >= share)
+        pairs = x.join(y, ["v", "b1", "b2"]).where("(ox <> own or b1 = b2) and x <> y and cx <> cy").where(reach)
         if last:
-            x = current.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = x.join(y, "v").where(F.col("a") < F.col("b")).where("ca <> cb").where(close)
-        else:
-            x = current.groupBy("v").agg(F.min_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), F.xxhash64("id", F.lit(turn))).alias("p")).select("v", "p.*")
-            pairs = x.join(y, "v").where("a <> b and ca <> cb").where(close).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.where("x < y or ox < own")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        found = materialize(verified(pairs))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = links.union(found)
+        links = links.union(materialize(verified(pairs)))
+        tested = tested.union(pairs)
         comps = connected_components(links)
         if last:
             break
