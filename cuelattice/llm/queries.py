@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bitpack import token_files
 from .common import read_table
+from .langid import fit, identify, training_fold
+from .media import fingerprint_media, text_to_wav
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import RULES, STOP_WORDS, judge_quality
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .urls import filter_urls
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -79,6 +83,63 @@ SELECT doc_id, size, source_size, target, ((base + CASE WHEN got THEN 1 ELSE 0 E
 OP1_SQL = _mix_sql(3)
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, read_table(spark, sf_dir, "labels"), URL_RULES).drop("n_rules")
+
+
+def _url_sql(support: float = 0.002, confidence: float = 0.5) -> str:
+    parts = r"'(?s)^.*?://([^/?#]*)([^?#]*)(.*)$'"
+    given = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in given]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{h + p}'" for f, (_, h, p) in zip(fits, given, strict=True)) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, given, strict=True)) + " END"
+    return f"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), {parts}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), {parts}, 2) AS path, regexp_extract(coalesce(url, ''), {parts}, 3) AS rest FROM pages
+), k AS (
+  SELECT rid, page_id, list_distinct(list_filter(list_concat(list_concat(
+    list_transform(string_split(host, '.'), lambda x: 'h:' || x),
+    list_transform(string_split(path, '/'), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g'))),
+    list_transform(regexp_extract_all(rest, '[?&]([^=&#]+)', 1), lambda x: 'q:' || x)), lambda x: length(x) > 2)) AS tokens FROM u
+), b AS (
+  SELECT rid, quality = 0 OR toxic = 1 AS bad, tokens FROM k JOIN labels ON page_id = doc_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL
+), n AS (SELECT count(*) AS n FROM b WHERE bad OR len(tokens) > 0
+), t AS (SELECT rid, bad, unnest(tokens) AS x FROM b
+), c AS (
+  SELECT x, NULL AS y, count(*) AS f, count(*) FILTER (WHERE bad) AS g FROM t GROUP BY x
+  UNION ALL SELECT p.x, q.x, count(*), count(*) FILTER (WHERE p.bad) FROM t p JOIN t q ON p.rid = q.rid AND p.x < q.x GROUP BY 1, 2
+), r AS (SELECT x, y FROM c, n WHERE g >= ceil({support} * n) AND g >= {confidence} * f AND g > 0
+), m AS (
+  SELECT DISTINCT rid FROM k, r WHERE list_contains(tokens, x) AND (y IS NULL OR list_contains(tokens, y))
+)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN m.rid IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM u LEFT JOIN m USING (rid)
+"""
+
+
+OP2_SQL = _url_sql()
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = training_fold(F.col("doc_id"))
+    model = fit(docs.where(~held), key=F.col("doc_id"))
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_media(text_to_wav(read_table(spark, sf_dir, "documents")))
+    codes = F.sha2(F.concat_ws(";", F.array_join("codes", ","), F.array_join("times", ",")), 256)
+    feature = F.concat_ws(":", F.size("codes").cast("string"), codes)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -136,16 +197,20 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_url_filter": op2_url_filter,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
+    "op8_media_fingerprints": op8_media_fingerprints,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
+    "op2_url_filter": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_minhash_dedup": OP10_SQL,
 }
