@@ -72,16 +72,16 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(~F.col("all"), F.col("prefix")).alias("cut"), "used")
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3, passes: int = 3) -> DataFrame:
-    """One row per input row: (id_col, size, source_size, target, copies, taken).
+def sized_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, h): words of the text and hash of the id."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("h", hash_digits(F.col("id")))
 
-    size: words [^\\x20\\x09-\\x0D]+ of the text (null: 0). copies is how often the mix takes the document whole, taken the
-    words of all copies. A source's taken words do not exceed its target; what is missing is less than any document that
-    is left out but fits in no further pass. Rows of equal id and source have one hash and are decided together; a null
-    source is a source of its own; a null id hashes as one id. Empty texts take part with size 0. An empty table gives
-    none. Other columns are ignored. Reruns agree, as hashes depend on ids alone.
+
+def plan_mix(rows: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3, passes: int = 3) -> DataFrame:
+    """(source, source_size, target, base, cuts, left) from (source, size, h): one row for each source.
+
+    Every document is taken base times, and once more if one of the cuts takes it; left is what no pass could fill.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("h", hash_digits(F.col("id"))))
     targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most_repeats=most_repeats))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("base", whole).withColumn("budget", F.floor(F.col("target") - F.col("base") * F.col("source_size")).cast("long"))
@@ -96,11 +96,43 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         joined = o.join(f, F.col("o.source").eqNullSafe(F.col("f.source")), "left")
         step = F.struct(F.col("f.cut").alias("cut"), F.col("o.left").alias("fits"))
         cuts = materialize(joined.select("o.source", "o.source_size", "o.target", "o.base", F.when(F.col("f.used").isNotNull(), F.array_append("o.cuts", step)).otherwise(F.col("o.cuts")).alias("cuts"), (F.col("o.left") - F.coalesce("f.used", F.lit(0))).alias("left")))
-    r, c = rows.alias("r"), cuts.alias("c")
-    copies = F.col("c.base") + F.when(_taken(F.col("c.cuts"), F.col("r.h"), F.col("r.size")), 1).otherwise(0)
+    return cuts
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3, passes: int = 3) -> DataFrame:
+    """One row per input row: (id_col, size, source_size, target, copies, taken).
+
+    size: words [^\\x20\\x09-\\x0D]+ of the text (null: 0). copies is how often the mix takes the document whole, taken the
+    words of all copies. A source's taken words do not exceed its target; what is missing is less than any document that
+    is left out but fits in no further pass. Rows of equal id, source and size are decided alike; a null source is a
+    source of its own; a null id hashes as one id. Empty texts take part with size 0. An empty table gives none. Other
+    columns are ignored. Reruns agree, as hashes depend on ids alone.
+    """
+    rows = materialize(sized_documents(docs, id_col=id_col, text_col=text_col, source_col=source_col))
+    plan = plan_mix(rows, weights=weights, most_repeats=most_repeats, passes=passes)
+    r, c = rows.alias("r"), plan.alias("c")
+    copies = _copies(F.col("c.base"), F.col("c.cuts"), F.col("r.h"), F.col("r.size"))
     return r.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))).select(F.col("r.id").alias(id_col), F.col("r.size").alias("size"), F.col("c.source_size").alias("source_size"), F.col("c.target").alias("target"), copies.alias("copies"), (copies * F.col("r.size")).alias("taken"))
 
 
+def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3, passes: int = 3) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken.
+
+    The plan has a row for each source and meets the documents by source, so whole texts stay where they are as long as
+    Spark finds the plan small enough to broadcast.
+    """
+    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
+    plan = plan_mix(materialize(sized_documents(docs, **names)), weights=weights, most_repeats=most_repeats, passes=passes)
+    d, c = docs.alias("d"), plan.alias("c")
+    copies = _copies(F.col("c.base"), F.col("c.cuts"), hash_digits(F.col(f"d.{id_col}")), word_count(F.col(f"d.{text_col}")))
+    many = d.join(c, F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("c.source"))).select("d.*", copies.alias("_copies")).where("_copies > 0")
+    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copy", "_copies")
+
+
+def _copies(base: Column, cuts: Column, h: Column, size: Column) -> Column:
+    return base + F.when(_taken(cuts, h, size), 1).otherwise(0)
+
+
 def _taken(cuts: Column, h: Column, size: Column) -> Column:
     """Whether one of the passes takes a document: it fits there and its hash is below the cut."""
     return F.exists(cuts, lambda c: (size <= c["fits"]) & F.coalesce(h < c["cut"], F.lit(True)))
