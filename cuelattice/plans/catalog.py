@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelattice.plans import text_queries  # noqa: F401
+from cuelattice.plans import join_queries, text_queries, window_queries  # noqa: F401
 from cuelattice.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

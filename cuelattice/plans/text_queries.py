@@ -174,7 +174,7 @@ def chinese_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN v > 1e16 THEN v / 1e9 WHEN v > 1e13 THEN v / 1e6 WHEN v > 1e10 THEN v / 1e3 ELSE v END AS seconds
-  FROM (SELECT event_id, (epoch_us(ts) * [1, 1000]::BIGINT[][event_id % 2 + 1])::DOUBLE / CASE WHEN event_id % 3 = 0 THEN 1e3 ELSE 1 END AS v FROM events)""")
+  FROM (SELECT event_id, (epoch_us(ts) * CASE WHEN event_id % 2 = 1 THEN 1000 ELSE 1 END)::DOUBLE / CASE WHEN event_id % 3 = 0 THEN 1e3 ELSE 1 END AS v FROM events)""")
 def epoch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL2: epochs of unknown unit."""
     us = F.unix_micros(F.col("ts").cast("timestamp")) * F.when(F.col("event_id") % 2 == 1, 1000).otherwise(1)
