@@ -117,12 +117,14 @@ def _sketch_batches(width: int, k: int):
     return run
 
 
-def _set_batches(width: int):
+def _set_batches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in sub_batches(batches, 1, 4 << 20):
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "items"])
+            sets = shingle_sets(batch.column(1), width)
+            offsets = np.concatenate(([0], np.cumsum([min(k, len(s)) for s in sets]))).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s[:k] for s in sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sketch, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sketch", "items"])
 
     return run
 
@@ -177,23 +179,31 @@ def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([ids.slice(lo, 500).take(at), n.slice(lo, 500).take(at), pa.array(np.concatenate(values))], ["id", "n", "v"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of the edges (a, b): comp is the smallest id reachable.
+def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has few rows (a few MB), else as it is for an exchange."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(id, comp) for every end of the edges (a, b), and their number: comp is the smallest id reachable.
 
     Least labels spread along edges and through labels of labels, so a chain needs a logarithmic number of rounds. Each
-    round is written to the shared folder; only the number of changed labels comes to the driver.
+    round is written to the shared folder; only the numbers of labels and of changed ones come to the driver.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    n = labels.count()
+    parts = 1 + n // 50_000  # what a reduce task writes is small
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        seen = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("mid"))
+        near = both.join(small(labels.select(F.col("id").alias("b"), "comp"), n), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        seen = near.join(small(labels, n), "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("comp").alias("far"))
-        after = materialize(seen.join(jump, "mid", "left").select("id", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp")))
+        after = seen.join(small(jump, n), "mid", "left").select("id", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp"))
+        after = materialize(after.coalesce(parts))
         changed = after.where("comp <> was").limit(1).count()
         labels = after.select("id", "comp")
         if not changed:
-            return labels
+            return labels, n
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: tuple[int, int] = (80, 100), sketch_size: int = 64, short_list: int = 24, pivot_rounds: int = 6) -> DataFrame:
@@ -218,8 +228,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # An id of several texts joins their classes.
     named = full.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "n", "rep")
-    several = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
-    links = materialize(named.join(several, "id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+    key = F.struct("h1", "h2", "n")
+    several = materialize(full.groupBy("id").agg(F.min(key).alias("k"), F.max(key).alias("m")).where("k <> m").select("id"))
+    links = full.sparkSession.createDataFrame([], "a long, b long")
+    if several.limit(1).count():
+        of = named.join(several, "id", "left_semi").select("id", "rep")
+        links = materialize(of.groupBy("id").agg(F.min("rep").alias("a")).join(of, "id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
 
     # Values retained by several documents, and of those the rarest that an overlap of o cannot avoid.
     posts = reps.select("id", "n", F.explode("sketch").alias("v"))
@@ -228,11 +242,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     need = F.least(F.lit(o), F.ceil(F.col("n") * num / den))
     listed = (F.size("vs") - need + 1).cast("int")  # those that one document alone retains are rarer and come before
     lists = materialize(shared.where(listed > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), listed)["v"]).alias("v")))
-    lists = materialize(lists.join(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "v", "left_semi").select("v", "id", "n"))
+    counts = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = materialize(lists.join(counts, "v").select("v", "id", "n", "c"))
+    parts = 1 + lists.count() // 25_000
 
     members = lists.select("id").distinct()
-    sets = materialize(source.join(members, "id", "left_semi").mapInArrow(_set_batches(shingle_words), "id long, items binary"))
-    sketches = materialize(reps.join(members, "id", "left_semi").select("id", "sketch"))
+    sets = materialize(source.join(members, "id", "left_semi").mapInArrow(_set_batches(shingle_words, k), "id long, sketch array<long>, items binary"))
+    sketches = sets.select("id", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) the links: by the estimate of the union's sketch first, then by the full sets."""
@@ -245,27 +261,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Short lists give all their pairs. The members of the others are listed anew, by their full sets.
     close = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
-    sized = lists.join(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v")
-    short = sized.where(F.col("c") <= short_list)
+    short = lists.where(F.col("c") <= short_list)
     x, y = short.select("v", F.col("id").alias("a"), F.col("n").alias("na")), short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"))
-    tested = materialize(x.join(y, "v").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct())
-    links = links.union(materialize(verified(tested)))
-    crowd = sized.where(F.col("c") > short_list).select("id", "n").distinct()
-    keyed = materialize(_keyed_lists(sets.join(crowd, "id"), num, den))
+    tested = materialize(x.join(y, "v").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct().coalesce(parts))
+    links = links.union(materialize(verified(tested).coalesce(parts)))
+    crowd = lists.where(F.col("c") > short_list).select("id", "n").distinct()
+    keyed = materialize(_keyed_lists(sets.select("id", "items").join(crowd, "id"), num, den).coalesce(parts))
 
-    comps = None
+    comps, n_comps = None, 0
     for turn in range(pivot_rounds + 1):
         if turn == 0:
             current, last = keyed.withColumn("comp", F.col("id")), False
             first = F.struct(F.col("alone") / F.col("n"), "id")  # a member that has the fewest words of its own stands nearest to all
         else:
-            current = keyed.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            current = materialize(keyed.join(small(comps, n_comps), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
             sums = current.groupBy("v", "b1", "b2", "comp").agg(F.sum(F.when(F.col("own") == F.col("b1"), 1).otherwise(0)).alias("l"), F.sum(F.when(F.col("own") == F.col("b2"), 1).otherwise(0)).alias("r"))
-            keys = sums.groupBy("v", "b1", "b2").agg((F.sum("l") * F.sum("r") - F.sum(F.col("l") * F.col("r"))).alias("todo"), F.sum(F.col("l") + F.col("r")).alias("rows")).where("todo > 0")
-            todo = keys.agg(F.sum("todo"), F.sum("rows")).first()
+            keys = materialize(sums.groupBy("v", "b1", "b2").agg((F.sum("l") * F.sum("r") - F.sum(F.col("l") * F.col("r"))).alias("todo"), F.sum(F.col("l") + F.col("r")).alias("rows")).where("todo > 0").coalesce(parts))
+            todo = keys.agg(F.sum("todo"), F.sum("rows"), F.count(F.lit(1))).first()
             if not todo[0]:
                 break
-            current = current.join(keys.select("v", "b1", "b2"), ["v", "b1", "b2"], "left_semi")
+            current = current.join(small(keys.select("v", "b1", "b2"), todo[2]), ["v", "b1", "b2"], "left_semi")
             last = turn == pivot_rounds or todo[0] <= 4 * todo[1]
             first = F.xxhash64("id", F.lit(turn))
         who = F.struct(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("comp").alias("cx"))
@@ -280,14 +295,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if last:
             pairs = pairs.where("x < y or ox < own")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        links = links.union(materialize(verified(pairs)))
+        pairs = materialize(pairs.coalesce(parts))
+        links = links.union(materialize(verified(pairs).coalesce(parts)))
         tested = tested.union(pairs)
-        comps = connected_components(links)
+        comps, n_comps = connected_components(links)
         if last:
             break
 
     # Every document: by its class, the class by its representative, and all texts of one id together.
-    out = named.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("comp"))
+    out = named.join(small(comps.withColumnRenamed("id", "rep"), n_comps), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("comp"))
     rest = sigs.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
