@@ -191,7 +191,7 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path)
-        for batch in sub_batches(batches, 1, 16 << 20):
+        for batch in sub_batches(batches, 1, 8 << 20):
             ids, at = tokenizer.encode(batch.column(1))
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for k, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

@@ -28,12 +28,13 @@ def _byte_alphabet() -> dict[int, str]:
 class WordTokenizer:
     """A tokenizer whose tokens never cross ASCII white space, so that each distinct word is encoded once.
 
-    path: a tokenizers JSON file. The cache of words is cleared at most_words, which bounds memory, not results.
+    path: a tokenizers JSON file. At most_words the cache forgets all but the words at hand, which bounds memory, not
+    results.
     """
 
     _held: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -123,6 +124,25 @@ class WordTokenizer:
         self.n_words += len(pairs)
         return list(range(first, self.n_words))
 
+    def _ids(self, numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, end to end, and where each ends."""
+        flat = self.pairs[np.array(numbers, np.int64)].ravel() if numbers else np.zeros(0, np.int32)
+        start, length = self.spans[flat, 0], np.where(flat >= 0, self.spans[flat, 1], 0)
+        ends = np.cumsum(length)
+        at = np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.store[at], ends[1::2]
+
+    def _renew(self, words: list[str]) -> None:
+        """Forget all but these words."""
+        known = [w for w in words if w in self.words]
+        ids, ends = self._ids([self.words[w] for w in known])
+        self._clear()
+        self._keep(ids, np.diff(ends, prepend=0))
+        self.pairs = np.full((max(1024, len(known)), 2), -1, np.int32)
+        self.pairs[: len(known), 0] = np.arange(len(known))
+        self.n_words = len(known)
+        self.words.update(zip(known, range(len(known)), strict=True))
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all rows, end to end, and the rows' offsets in them; null counts as empty."""
         was = gc.isenabled()
@@ -144,18 +164,14 @@ class WordTokenizer:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.words) + len(words) > self.most_words:
-            self._clear()
+            self._renew(words)
         numbers = list(map(self.words.get, words))
         fresh = [w for w, k in zip(words, numbers, strict=True) if k is None]
         if fresh:
             self.words.update(zip(fresh, self._learn(fresh), strict=True))
             numbers = list(map(self.words.__getitem__, words))
-        pairs = self.pairs[np.array(numbers, np.int64)] if numbers else np.zeros((0, 2), np.int32)
-        flat = pairs.ravel()
-        start, length = self.spans[flat, 0], np.where(flat >= 0, self.spans[flat, 1], 0)
-        ends = np.cumsum(length)
-        at = np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends[1::2])).astype(np.int32)), pa.array(self.store[at]))
+        each, ends = self._ids(numbers)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(each))
         taken = lists.take(coded.indices)
         word_at = np.asarray(taken.offsets).astype(np.int64)
         ids = np.asarray(taken.values)
