@@ -8,10 +8,12 @@ a row's shard follows from its hash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_rank, salts_for
+from .common import materialize, salted_rank
 
 
 def _greedy(sizes: Column, capacity: Column) -> Column:
@@ -54,6 +56,11 @@ def minimax_cuts(sizes: DataFrame, shards: int) -> DataFrame:
     return cut.select(F.explode(F.aggregate("rows", first, step)).alias("c")).select("c.shard", "c.first", "c.load")
 
 
+def salt_digits(rows: int, per_salt: int = 200_000) -> int:
+    """Hex digits of a salt that keep the rows of each near per_salt even if one shard has all."""
+    return max(2, math.ceil(math.log(max(1, rows / per_salt), 16)))
+
+
 def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, digits: int = 4) -> DataFrame:
     """One row per input row: (id_col, size, text_crc32, law, shard, slot, grown_shard) under the law `bytes`.
 
@@ -71,6 +78,6 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     total = sums.agg(F.sum("n")).first()[0] or 0
     shard = sum(((F.col("bucket") >= first).cast("int") for first in firsts[1:]), F.lit(0))
     placed = rows.withColumn("shard", shard.cast("int"))
-    salt = F.pmod(F.xxhash64("id", "bucket"), F.lit(salts_for(total, shards))).cast("int")
+    salt = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "bucket")), 1, salt_digits(total))
     ranked = salted_rank(placed, ["shard"], ["id", "text_crc32"], salt, "slot")
     return ranked.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
