@@ -60,7 +60,7 @@ class Profile:
 
 
 def read_layer(path: str | None) -> dict[str, list[str]]:
-    """A layer from a JSON file; none, missing and unreadable files are empty layers."""
+    """SRC14: a layer from a JSON file; none, missing and unreadable files are empty layers."""
     try:
         with open(path or "", encoding="utf-8") as f:
             data = json.load(f)

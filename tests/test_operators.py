@@ -180,3 +180,30 @@ def test_stream(spark, tmp_path):
     q = events.write_stream(events.kind_counts(stream), str(tmp_path / "out2"), str(tmp_path / "ck2"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out2")).selectExpr("sum(n)").first()[0] > 0
+
+
+def test_model_boundary(spark):
+    import pytest
+
+    from cuelattice.operators import records as C
+
+    rows = spark.createDataFrame([(1, k) for k in range(5)], "job long, id long")
+    scored = C.score_batches(rows, lambda asked: [{"job": r["job"], "id": r["id"], "usable": r["id"] != 2} for r in asked] + [{"job": 1, "id": 99, "usable": True}], "job long, id long, usable boolean", size=2)
+    once = scored.dropDuplicates(["job", "id"])
+    assert sorted((r.id, r.usable) for r in C.checked_decisions(rows, once, "job", "id").collect()) == [(k, k != 2) for k in range(5)]
+    with pytest.raises(Exception, match="missing 4"):
+        C.checked_decisions(rows, once.where("id <> 4"), "job", "id").collect()
+    assert C.chosen_bounds(clauses(spark, ("a", 0, 1), ("b", 2, 2))).count() == 1
+    assert C.table_differences(spark, rows, rows.withColumn("x", F.lit(1))) == [("x", "- -> int")]
+
+
+def test_fingerprints(spark, tmp_path):
+    import hashlib
+
+    from cuelattice.operators import records as C
+
+    (tmp_path / "f.bin").write_bytes(b"abcdef")
+    r = C.file_fingerprints(spark, str(tmp_path / "f.bin"), sample=2).first()
+    assert r.digest == hashlib.sha256(b"abef").hexdigest()
+    df = spark.createDataFrame([("a", None), ("a", "")], "x string, y string").select(C.cache_key(F.col("x"), F.col("y")).alias("k"))
+    assert df.distinct().count() == 2
