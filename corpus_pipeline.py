@@ -16,7 +16,7 @@ from cuelattice.llm.queries import word_bpe
 from cuelattice.llm.secrets import redact_secrets
 
 #: Documents whose words are less sure of the predicted language than this are rejected.
-LEAST_SCORE = 0.15
+LEAST_SCORE = 0.05
 
 #: SQL has no tokenizer and no mixture inference.
 ORACLE_SQL = None
