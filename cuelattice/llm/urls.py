@@ -43,10 +43,11 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments, fields), lambda x: F.length(x) > 2))
 
 
-def mine_rules(labelled: DataFrame, *, least_support: float = 0.002, least_confidence: float = 0.5, longest: int = 2) -> DataFrame:
-    """(rule_id, tokens, support, confidence) from rows (tokens, bad): combinations of up to longest tokens that go with bad.
+def mine_rules(labelled: DataFrame, *, least_support: float = 0.002, least_confidence: float = 0.5) -> DataFrame:
+    """(rule_id, tokens, support, confidence) from rows (tokens, bad): combinations of tokens, of any length, that go with bad.
 
-    An empty table gives no rules.
+    A rule that holds all tokens of another one is left out: it fits no URL that the other doesn't. An empty table gives no
+    rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -56,9 +57,11 @@ def mine_rules(labelled: DataFrame, *, least_support: float = 0.002, least_confi
     if not items.limit(1).count():
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= longest))
+    found = model.associationRules.where(F.element_at("consequent", 1) == BAD)
     tokens = F.array_sort("antecedent")
-    return materialize(found.select(F.md5(F.array_join(tokens, "\x01")).alias("rule_id"), tokens.alias("tokens"), "support", "confidence"))
+    rules = materialize(found.select(F.md5(F.array_join(tokens, "\x01")).alias("rule_id"), tokens.alias("tokens"), "support", "confidence"))
+    wider = match_rules(rules.select(F.col("rule_id").alias("url"), "tokens"), rules).where("n_rules > 1")  # each fits itself
+    return materialize(rules.join(wider, rules["rule_id"] == wider["url"], "left_anti"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -69,11 +72,11 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return full.groupBy("url").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None, least_support: float = 0.002, least_confidence: float = 0.5, longest: int = 2) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None, least_support: float = 0.002, least_confidence: float = 0.5) -> DataFrame:
     """One row per input row: (id_col, host, path, rule, verdict, n_rules).
 
     The verdict is that of the longest given rule that fits (its host or a subdomain, and a path that starts with the
-    rule's), else block if a mined rule holds, else allow. Null URLs and URLs without :// have an empty host and path and
+    rule's), else block if a mined rule holds, else allow; n_rules counts the mined rules that hold. Null URLs and URLs without :// have an empty host and path and
     no mined tokens but those. Equal URLs are matched once. Labels without a page, or of null value, are not used. Other
     columns are ignored; an empty table gives none.
     """
@@ -81,7 +84,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     marks = labels.select(F.col(label_id).alias("id"), bad.alias("bad")).where("bad is not null")
     labelled = source.join(marks, "id").select(url_tokens(F.col("url")).alias("tokens"), "bad")
-    mined = mine_rules(labelled, least_support=least_support, least_confidence=least_confidence, longest=longest)
+    mined = mine_rules(labelled, least_support=least_support, least_confidence=least_confidence)
     distinct = source.select("url").where("url is not null").distinct().select("url", url_tokens(F.col("url")).alias("tokens"))
     hits = match_rules(distinct, mined)
     rows = source.join(hits, "url", "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})

@@ -1,6 +1,7 @@
 """The operators for training data against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -143,6 +144,24 @@ def test_mined_rules(spark):
     assert got == {k: "block" if k % 6 == 3 else "allow" for k in range(120)}
 
 
+def test_mined_rules_of_any_length(spark):
+    """Against brute force over all combinations of tokens: pages that are bad only as host, section and word together."""
+    rows = [(n, f"http://{'ab'[n % 2]}{'cd'[n // 2 % 2]}.net/{'ef'[n // 4 % 2]}x/{'gh'[n // 8 % 2]}y/{'ij'[n // 16 % 2]}z") for n in range(96)]
+    bad = {n for n, _ in rows if (n % 2, n // 4 % 2, n // 8 % 2) == (0, 1, 1) or n % 32 == 7}
+    got_tokens = {r.page_id: r.t for r in spark.createDataFrame(rows, "page_id long, url string").select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    found = [c for k in range(1, 6) for c in map(frozenset, {c for t in got_tokens.values() for c in itertools.combinations(sorted(t), k)})]
+    held = {c: [n for n, t in got_tokens.items() if c <= set(t)] for c in found}
+    want = {c for c, ns in held.items() if len(bad & set(ns)) >= 0.02 * len(rows) and len(bad & set(ns)) >= 0.6 * len(ns)}
+    least = {c for c in want if not any(o < c for o in want)}
+    assert max(map(len, least)) >= 3  # shorter rules don't cover these
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(n, int(n not in bad), 0) for n, _ in rows], "doc_id long, quality int, toxic int")
+    marks = pages.join(labels, pages.page_id == labels.doc_id).select(urls.url_tokens(F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("bad"))
+    assert {frozenset(r.tokens) for r in urls.mine_rules(marks, least_support=0.02, least_confidence=0.6).collect()} == least
+    verdicts = {r.page_id: r.verdict for r in urls.filter_urls(pages, labels, [], least_support=0.02, least_confidence=0.6).collect()}
+    assert verdicts == {n: "block" if any(c <= set(t) for c in want) else "allow" for n, t in got_tokens.items()}
+
+
 # 3
 
 
