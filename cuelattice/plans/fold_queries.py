@@ -107,10 +107,10 @@ def lcs_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def beam_arrange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOPK4, TOPK5."""
     v = F.col("pos")
-    u = units(spark, sf_dir).where("job % 40 = 0").select(
+    u = units(spark, sf_dir).select(
         "job", F.col("pos").alias("id"), "start", "end", "topic", (v % 8).alias("claim"), "strength", (0.4 + F.col("relevance") / 2).alias("relevance"), (0.5 + F.col("hook") / 2).alias("hook"), "role", F.array().cast("array<bigint>").alias("needs"), F.lit(True).alias("independent"), F.lit(True).alias("usable")
     )
-    return D.arrange(u, low=6000, high=16_000, width=20).withColumn("ids", F.array_join("ids", ","))
+    return D.arrange(u, low=6000, high=16_000).withColumn("ids", F.array_join("ids", ","))
 
 
 @query()
@@ -221,7 +221,7 @@ def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def film_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIPE12: units filtered, arranged and audited."""
-    u = units(spark, sf_dir).where("job % 40 = 0").withColumns({"id": F.col("pos"), "claim": F.col("pos") % 8, "needs": F.array().cast("array<bigint>"), "independent": F.lit(True), "usable": F.col("pos") > 0, "hook": 0.5 + F.col("hook") / 2, "relevance": 0.4 + F.col("relevance") / 2})
+    u = units(spark, sf_dir).withColumns({"id": F.col("pos"), "claim": F.col("pos") % 8, "needs": F.array().cast("array<bigint>"), "independent": F.lit(True), "usable": F.col("pos") > 0, "hook": 0.5 + F.col("hook") / 2, "relevance": 0.4 + F.col("relevance") / 2})
     return pipelines.whole_film(u, low=6000, high=16_000)
 
 

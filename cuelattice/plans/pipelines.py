@@ -11,6 +11,7 @@ from cuelattice.functions.vocab import Profile
 from cuelattice.operators import folds as D
 from cuelattice.operators import intervals as I
 from cuelattice.operators import validate as V
+from cuelattice.operators.graph import checkpointed
 from cuelattice.operators.islands import merge_runs
 from cuelattice.operators.rules import flag_clauses, index_gate
 from cuelattice.operators.scoring import best_label, quality_score
@@ -68,8 +69,11 @@ def digest(rows: DataFrame, profile: Profile, *, times: float = 1.0, most: int,
 
 
 def whole_film(units: DataFrame, *, low: float, high: float) -> DataFrame:
-    """PIPE12: the selected order of each job that has enough material, with the number of violations."""
-    best = D.arrange(units, low=low, high=high, width=20).where("selected")
+    """PIPE12: the selected order of each job that has enough material, with the number of violations.
+
+    The orders are checkpointed, as the audit reads them many times.
+    """
+    best = checkpointed(D.arrange(units, low=low, high=high).where("selected"))
     placed = best.select("job", "score", F.posexplode("ids").alias("at", "id"))
     chosen = placed.join(units.drop("pos"), ["job", "id"]).withColumn("pos", F.col("at").cast("long"))
     edges = chosen.select("job", "pos", F.explode("needs").alias("need"))

@@ -3,9 +3,11 @@
 import io
 import json
 import math
+import os
 import struct
 import wave
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as T
@@ -15,10 +17,14 @@ from cuelattice.operators import graph as G
 from cuelattice.operators import intervals as I
 from cuelattice.operators import rules as R
 from cuelattice.operators import sets as S
+from cuelattice.plans import fold_queries
 from cuelattice.sources import audio, sinks, subtitles, timelines, transcripts
 from cuelattice.streaming import events
 
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def words(spark, *rows):
     return spark.createDataFrame([(1, float(s), float(e), w) for w, s, e in rows], "job long, s double, e double, w string")
 
@@ -207,3 +213,15 @@ def test_fingerprints(spark, tmp_path):
     assert r.digest == hashlib.sha256(b"abef").hexdigest()
     df = spark.createDataFrame([("a", None), ("a", "")], "x string, y string").select(C.cache_key(F.col("x"), F.col("y")).alias("k"))
     assert df.distinct().count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_orders_of_every_job(spark):
+    """Jobs of any number get their orders, by the operator's own beam width."""
+    u = fold_queries.units(spark, SF)
+    asked = u.select("job", F.col("pos").alias("id"), "start", "end", "topic", (F.col("pos") % 8).alias("claim"), "strength", (0.4 + F.col("relevance") / 2).alias("relevance"), (0.5 + F.col("hook") / 2).alias("hook"), "role", F.array().cast("array<bigint>").alias("needs"), F.lit(True).alias("independent"), F.lit(True).alias("usable"))
+    want = {(r.job, r.candidate): (",".join(map(str, r.ids)), r.score) for r in D.arrange(asked, low=6000, high=16_000, width=60).collect()}
+    got = fold_queries.beam_arrange(spark, SF).collect()
+    assert {(r.job, r.candidate): (r.ids, r.score) for r in got} == want
+    films = fold_queries.film_pipeline(spark, SF).collect()
+    assert {r.job for r in films if r.job % 40} and all(r.violations >= 0 for r in films)
