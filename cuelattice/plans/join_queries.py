@@ -83,7 +83,7 @@ _SHIFTED = """shifted AS (SELECT job, pos, s + 350 AS s, e + 350 AS e FROM words
   bool_or(over > 0) AS overlaps FROM near GROUP BY 1, 2""")
 def max_overlap_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN6: words shifted in time, assigned to the clause they overlap most, else to the nearest."""
-    items = words(spark, sf_dir).where("pos % 5 = 0").select("job", "pos", (F.col("s") + 350).alias("s"), (F.col("e") + 350).alias("e"))
+    items = words(spark, sf_dir).select("job", "pos", (F.col("s") + 350).alias("s"), (F.col("e") + 350).alias("e"))
     spans = clauses(spark, sf_dir).select("job", F.col("id").alias("seg"), "start", "end")
     return I.greatest_overlap(items, spans, ["job"], "pos", ("s", "e"), ("start", "end"), "seg", bucket=MS).select("job", "pos", "segment", "overlaps")
 
@@ -153,7 +153,7 @@ def latest_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_array_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN17: a JSON array of ids looked up, order kept, missing ones dropped."""
     ids = F.to_json(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("c_custkey") * 7 + k * 3))
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("job"), ids.alias("ids_json"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job"), ids.alias("ids_json"))
     each = rows.select("job", F.posexplode(F.from_json("ids_json", "array<bigint>")).alias("p", "id")).withColumn("place", F.col("p").cast("long"))
     return each.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), "id").select("job", "place", "id", "status")
 
@@ -243,7 +243,7 @@ def overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, lang, coalesce(quality, -1) AS quality, text LIKE '%license%' AS named FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0""")
 def profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN19: units with their profiles, the right side's columns winning."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", F.lit(-1).alias("quality"), F.col("text").contains("license").alias("named"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(-1).alias("quality"), F.col("text").contains("license").alias("named"))
     p = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("q"))
     return d.join(p, "doc_id", "left").select("doc_id", "lang", F.coalesce("q", "quality").alias("quality"), "named")
 
