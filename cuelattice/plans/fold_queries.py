@@ -76,15 +76,15 @@ def merge_cut_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP1: sentences of a document against those kept before."""
-    c = clauses(spark, sf_dir).select((F.col("job") % 50).alias("job"), (F.col("job") * 100 + F.col("id")).alias("id"), F.substring("text", 1, 60).alias("text"))
-    return D.greedy_near_duplicates(c, least=0.8)
+    c = clauses(spark, sf_dir).select((F.col("job") % 50).alias("job"), (F.col("job") * 100 + F.col("id")).alias("id"), "text")
+    return D.greedy_near_duplicates(c)
 
 
 @query()
 def literal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DUP3."""
-    c = clauses(spark, sf_dir).select((F.col("job") % 50).alias("job"), (F.col("job") * 100 + F.col("id")).alias("id"), F.substring("text", 1, 40).alias("text"), "start", "end")
-    return D.literal_dedup(c, least=0.86)
+    c = clauses(spark, sf_dir).select((F.col("job") % 50).alias("job"), (F.col("job") * 100 + F.col("id")).alias("id"), "text", "start", "end")
+    return D.literal_dedup(c)
 
 
 @query()
@@ -95,11 +95,11 @@ def dependency_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lcs_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR10: the first words of a clause found among its characters."""
-    w = words(spark, sf_dir).where("pos % 10000 < 12")
+    """STR10: the text of a clause found among its characters."""
+    w = words(spark, sf_dir)
     each = w.select("job", "id", "pos", "s", F.posexplode(F.filter(F.split("w", ""), lambda c: c != "")).alias("k", "ch"))
     chars = each.groupBy("job", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "k", F.col("s").alias("s"), F.col("s").alias("e"), F.col("ch").alias("w")))).alias("chars"))
-    text = clauses(spark, sf_dir).select("job", "id", F.substring_index("text", " ", 8).alias("text"))
+    text = clauses(spark, sf_dir).select("job", "id", "text")
     return D.align_texts(text.join(chars, ["job", "id"]).withColumn("chars", F.transform("chars", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("w")))))
 
 

@@ -190,7 +190,7 @@ SELECT action, token, count(*) AS n FROM a GROUP BY 1, 2""")
 def rule_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN21, PIPE15: where a human verdict differs from the rule's, the words to add or remove; without words it stays unresolved."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    tokens = F.filter(F.split(F.lower(F.substring("text", 1, 60)), " "), lambda x: F.length(x) >= 9)
+    tokens = F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) >= 9)
     v = d.select("doc_id", F.col("text").rlike("(?i)license|password").alias("rejected"), (F.col("quality") == 0).alias("bad"), tokens.alias("tokens")).where("rejected <> bad")
     none = F.size("tokens") == 0
     action = F.when(none, "unresolved").when(F.col("bad"), "hard_add").otherwise("hard_remove")

@@ -1,5 +1,6 @@
 """Hand-computed cases of operators that SQL can't express, and of sources."""
 
+import difflib
 import io
 import json
 import math
@@ -225,3 +226,30 @@ def test_orders_of_every_job(spark):
     assert {(r.job, r.candidate): (r.ids, r.score) for r in got} == want
     films = fold_queries.film_pipeline(spark, SF).collect()
     assert {r.job for r in films if r.job % 40} and all(r.violations >= 0 for r in films)
+
+
+def test_whole_texts(spark, tmp_path):
+    """Against brute force: turns that agree only in their openings, or only after them."""
+    body = "one quick brown fox sees seven lazy dogs near old mill walls today while rain falls over green hills"
+    opening = "we have all heard this very long opening line that never ends and goes on"
+    texts = [f"{opening} {body}", f"{opening} quite other things stand here: 123 456 789 000 111 222 333", f"{opening} {body} now", f"A {body} {body}", f"Bcdefgh {body} {body}", "", f"A {body} {body}"]
+    spark.createDataFrame([(50 * k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    ids = [5000 * k for k in range(len(texts))]
+
+    def brute(key, least):
+        kept, out = [], {}
+        for i, t in zip(ids, map(key, texts), strict=True):
+            out[i] = next((j for j, o in kept if t and o and (t == o or difflib.SequenceMatcher(None, t, o).ratio() >= least)), None)
+            kept += [(i, t)] if out[i] is None else []
+        return out
+
+    near = brute(D.key_of, 0.9)
+    assert {r.id: r.duplicate_of for r in fold_queries.greedy_near_dup(spark, str(tmp_path)).collect()} == near and near[ids[1]] is None and near[ids[4]] == ids[3]
+    lead = {i: j if j is not None else i for i, j in brute(D.letters, 0.92).items()}
+    same = {i: frozenset(j for j in ids if lead[j] == lead[i]) for i in ids}
+    got = {r.id: r.duplicate_of for r in fold_queries.literal_dedup(spark, str(tmp_path)).collect()}
+    best = {i: j if j is not None else i for i, j in got.items()}
+    assert {i: frozenset(j for j in ids if best[j] == best[i]) for i in ids} == same
+    last = {r.job: r.s for r in fold_queries.words(spark, str(tmp_path)).groupBy("job").agg(F.max("s").alias("s")).collect()}
+    found = {r.job: r for r in fold_queries.lcs_align(spark, str(tmp_path)).collect()}
+    assert {j: (r.coverage, r.end) for j, r in found.items()} == {j: (1.0, float(s)) for j, s in last.items()}
