@@ -352,6 +352,27 @@ def greedy_near_duplicates(rows: DataFrame, *, job: str = "job", order: str = "i
     return ordered_fold(rows.select(job, order, text), [job], [order], step, "id long, duplicate_of long")
 
 
+def near_repeats(rows: DataFrame, *, job: str = "job", order: str = "id", text: str = "text", least: float, shortest: int = 6, equal: bool = True) -> DataFrame:
+    """JOIN23, JOIN24: (job, id, earlier): rows with the first row before them, kept or not, of as similar letters, both of shortest or more; with equal also of equal letters of any number."""
+
+    def step(rows: list[Row]) -> Iterator[Row]:
+        before: list[tuple[Any, str]] = []
+        for r in rows:
+            key = letters(r[text])
+            matcher = difflib.SequenceMatcher(None, key, "")
+            for i, k in before if key else ():
+                near = equal and key == k
+                if not near and min(len(key), len(k)) >= shortest:
+                    matcher.set_seq2(k)
+                    near = matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+                if near:
+                    yield {"id": r[order], "earlier": i}
+                    break
+            before.append((r[order], key))
+
+    return ordered_fold(rows.select(job, order, text), [job], [order], step, "id long, earlier long")
+
+
 def literal_dedup(clips: DataFrame, *, job: str = "job", order: str = "id", least: float = 0.92) -> DataFrame:
     """DUP3: leader clusters: a clip joins the first group whose first member is as similar. duplicate_of is the group's best (longest key, longest time, least id), null for itself; empty texts stay alone."""
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cuelattice.functions.text import letters_key
 from cuelattice.functions.vocab import Profile
 from cuelattice.operators import islands as W
+from cuelattice.operators.folds import near_repeats
 from cuelattice.operators.intervals import self_overlap
 from cuelattice.operators.rules import content_rejection, dangling_end, dependent_start
 
@@ -102,12 +103,9 @@ def overlap_issues(rows: DataFrame, job: str, pos: str, *, bucket: float, least:
     return _issue(found, job, "overlapping_source_range", "error", "earlier", pos)
 
 
-def exact_repeats(rows: DataFrame, job: str, pos: str) -> DataFrame:
-    """JOIN24: texts equal in letters to an earlier row's."""
-    x = rows.withColumn("_key", letters_key(F.col("text"))).where("_key <> ''")
-    w = Window.partitionBy(job, "_key").orderBy(pos)
-    x = x.withColumns({"_first": F.first(pos).over(w), "_k": F.row_number().over(w)}).where("_k > 1")
-    return _issue(x, job, "duplicate_text", "error", "_first", pos)
+def repeated_texts(rows: DataFrame, job: str, pos: str, *, least: float = 0.88) -> DataFrame:
+    """JOIN24: texts equal or near to an earlier row's."""
+    return _issue(near_repeats(rows, job=job, order=pos, least=least), job, "duplicate_text", "error", "earlier", "id")
 
 
 def distinct_issues(issues: DataFrame) -> DataFrame:
@@ -119,7 +117,7 @@ def copy_review(rows: DataFrame, profile: Profile, *, job: str = "job", pos: str
     """AGG7: one row per job: errors by kind, opening score, information density, score.
 
     rows: text, role, product, color, start, end. Dangling references and continuations, products and colours that come
-    back, an opening scored by its length and best role.
+    back, texts near to an earlier one (JOIN23), an opening scored by its length and best role.
     """
     w = Window.partitionBy(job).orderBy(pos)
     t = F.coalesce("text", F.lit(""))
@@ -133,13 +131,14 @@ def copy_review(rows: DataFrame, profile: Profile, *, job: str = "job", pos: str
     )
     jumps = W.value_returns(rows, [job], pos, "product").groupBy(job).agg(F.count(F.lit(1)).alias("product_jumps"))
     colors = W.value_returns(rows.where(F.coalesce("product", F.lit("")) != ""), [job, "product"], pos, "color").groupBy(job).agg(F.count(F.lit(1)).alias("color_jumps"))
-    out = g.join(jumps, job, "left").join(colors, job, "left").na.fill(0, ["product_jumps", "color_jumps"])
+    repeats = near_repeats(rows, job=job, order=pos, least=0.86, equal=False).groupBy(job).agg(F.count(F.lit(1)).alias("repeated_conclusions"))
+    out = g.join(jumps, job, "left").join(colors, job, "left").join(repeats, job, "left").na.fill(0, ["product_jumps", "color_jumps", "repeated_conclusions"])
     score = F.least(F.lit(45), F.round(F.col("_oc") * 1.2)) + F.col("_bonus") - F.when(F.col("_first").rlike(low_value), 45).otherwise(0)
     out = out.withColumn("opening_score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long"))
-    out = out.withColumn("errors", F.col("dangling_references") + F.col("dangling_continuations") + F.col("product_jumps") + F.col("color_jumps") + F.when(F.col("_products") == 0, 1).otherwise(0))
+    out = out.withColumn("errors", F.col("dangling_references") + F.col("dangling_continuations") + F.col("product_jumps") + F.col("color_jumps") + F.col("repeated_conclusions") + F.when(F.col("_products") == 0, 1).otherwise(0))
     final = F.greatest(F.lit(0), 100 - 18 * F.col("errors") - F.greatest(F.lit(0), 45 - F.col("opening_score"))).cast("long")
     density = F.round(F.col("_info") / F.greatest(F.lit(1.0), F.col("_time") / second), 2)
-    return out.select(job, "dangling_references", "dangling_continuations", "product_jumps", "color_jumps", "opening_score", density.alias("information_density"), "errors", final.alias("score"))
+    return out.select(job, "dangling_references", "dangling_continuations", "product_jumps", "color_jumps", "repeated_conclusions", "opening_score", density.alias("information_density"), "errors", final.alias("score"))
 
 
 def film_audit(units: DataFrame, edges: DataFrame, *, job: str = "job", pos: str = "pos", low: float, high: float, weak: float = 0.4, least_hook: float = 0.5) -> DataFrame:

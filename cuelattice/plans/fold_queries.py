@@ -150,7 +150,7 @@ g AS (SELECT job, sum("end" - start) AS t, count(*) AS n, count(*) FILTER (WHERE
   UNION ALL SELECT job, 'too_many_material_segments', 'error', min(pos), max(pos) FROM timeline WHERE role = 'material' GROUP BY job, product HAVING count(*) > 1)
 SELECT job, code, min(level) AS level, first, last FROM x GROUP BY job, code, first, last""")
 def timeline_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG15, AGG16, WIN2, WIN3: every problem of every cut list."""
+    """AGG15, AGG16 without its near-duplicates (a cut list has no text), WIN2, WIN3: problems of every cut list."""
     t = timeline(spark, sf_dir)
     roles = ["hook", "result", "demo", "material", "close", "proof"]
     return V.distinct_issues(V.union([
@@ -172,7 +172,7 @@ SELECT job, code, min(level) AS level, first, last FROM x GROUP BY job, code, fi
 def text_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15, JOIN24: problems of what is said."""
     c = clauses(spark, sf_dir)
-    return V.distinct_issues(V.union([V.text_issues(c, "job", "id", LATIN, close_up=False), V.exact_repeats(c, "job", "id")]))
+    return V.distinct_issues(V.union([V.text_issues(c, "job", "id", LATIN, close_up=False), V.repeated_texts(c, "job", "id")]))
 
 
 @query()

@@ -253,3 +253,14 @@ def test_whole_texts(spark, tmp_path):
     last = {r.job: r.s for r in fold_queries.words(spark, str(tmp_path)).groupBy("job").agg(F.max("s").alias("s")).collect()}
     found = {r.job: r for r in fold_queries.lcs_align(spark, str(tmp_path)).collect()}
     assert {j: (r.coverage, r.end) for j, r in found.items()} == {j: (1.0, float(s)) for j, s in last.items()}
+
+
+def test_near_repeats(spark, tmp_path):
+    """Reworded repeats count as errors; each row is held against all rows before it, the first near one is named."""
+    texts = ["the warm red coat keeps out wind", "the warm red coat keeps off wind", "short", "short", "something else was said in between", "the warm red coat keeps out winds"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {(r["first"], r["last"]) for r in fold_queries.text_issues(spark, str(tmp_path)).where("code = 'duplicate_text'").collect()}
+    assert found == {(0, 1), (2, 3), (0, 5)}
+    one = fold_queries.copy_review(spark, str(tmp_path)).collect()[0]
+    parts = one.dangling_references + one.dangling_continuations + one.product_jumps + one.color_jumps
+    assert one.repeated_conclusions == 2 and one.errors == parts + 2
