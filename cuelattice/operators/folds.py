@@ -429,7 +429,7 @@ def dependency_dedup(rows: DataFrame, *, job: str = "job", order: str = "id", le
 
 
 def longest_common(a: str, b: str) -> list[tuple[int, int]]:
-    """STR10: places of a longest common subsequence."""
+    """Places of a longest common subsequence, a part of STR10."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -447,7 +447,7 @@ def longest_common(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def align_texts(asked: DataFrame, *, job: str = "job", order: str = "id", least: float = 0.6) -> DataFrame:
-    """STR10: a text aligned to timed characters (chars: array of (s, e, w)): start and end of what matches, and the share of the text that does; null times below least."""
+    """A text aligned to timed characters by one longest common subsequence (chars: array of (s, e, w)): start and end of what matches, and the share of the text that does; null times below least."""
 
     def step(rows: list[Row]) -> Iterator[Row]:
         for r in rows:

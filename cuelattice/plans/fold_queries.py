@@ -95,7 +95,7 @@ def dependency_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lcs_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR10: the text of a clause found among its characters."""
+    """The text of a clause found among its characters."""
     w = words(spark, sf_dir)
     each = w.select("job", "id", "pos", "s", F.posexplode(F.filter(F.split("w", ""), lambda c: c != "")).alias("k", "ch"))
     chars = each.groupBy("job", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "k", F.col("s").alias("s"), F.col("s").alias("e"), F.col("ch").alias("w")))).alias("chars"))
@@ -105,7 +105,7 @@ def lcs_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def beam_arrange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOPK4, TOPK5."""
+    """TOPK4."""
     v = F.col("pos")
     u = units(spark, sf_dir).select(
         "job", F.col("pos").alias("id"), "start", "end", "topic", (v % 8).alias("claim"), "strength", (0.4 + F.col("relevance") / 2).alias("relevance"), (0.5 + F.col("hook") / 2).alias("hook"), "role", F.array().cast("array<bigint>").alias("needs"), F.lit(True).alias("independent"), F.lit(True).alias("usable")

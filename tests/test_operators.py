@@ -264,3 +264,8 @@ def test_near_repeats(spark, tmp_path):
     one = fold_queries.copy_review(spark, str(tmp_path)).collect()[0]
     parts = one.dangling_references + one.dangling_continuations + one.product_jumps + one.color_jumps
     assert one.repeated_conclusions == 2 and one.errors == parts + 2
+
+
+def test_unbuilt_methods_are_not_claimed():
+    assert "TOPK5" not in (fold_queries.beam_arrange.__doc__ + D.arrange.__doc__)
+    assert "STR10" not in (fold_queries.lcs_align.__doc__ + D.align_texts.__doc__)
