@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,12 @@ from pyspark.sql.window import Window
 #: The ASCII white space that parts words: [\x20\x09-\x0D].
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library keeps what it likes
+    _LIBC = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests on one machine)."""
@@ -37,7 +45,28 @@ def materialize(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that materialize wrote for these frames; no frame that is read later may depend on them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is written inside: rows of two whole sets are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +105,14 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text_index: int, limit: int)
         _, offsets = text_bytes(batch.column(text_index))
         for lo, hi in row_ranges(offsets, limit):
             yield batch.slice(lo, hi - lo)
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give what a worker has freed back to the system: workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def word_count(text: Column) -> Column:

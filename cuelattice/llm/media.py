@@ -1,4 +1,4 @@
-"""Media columns: WAV bytes in a column, and fingerprints of spectral peak pairs as time-coded arrays."""
+"""Media columns: WAV bytes in a column, stored as Parquet, and fingerprints of spectral peak pairs as time-coded arrays."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ranges, text_bytes
+from .common import materialize, sub_batches, text_bytes
 
 FRAME, HOP, BLOCK = 256, 128, 64
 _HANN = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.float32)
@@ -38,7 +38,7 @@ def wav_samples(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peak_pairs(samples: list[np.ndarray], most_frames: int = 1 << 14) -> list[tuple[np.ndarray, np.ndarray]]:
+def peak_pairs(samples: list[np.ndarray], most_frames: int = 1 << 12) -> list[tuple[np.ndarray, np.ndarray]]:
     """(codes, times) of each row of 8-bit samples.
 
     Frames of 256 samples step by 128, the last padded with silence. A frame's two strongest local maxima are its peaks;
@@ -99,17 +99,14 @@ def peak_pairs(samples: list[np.ndarray], most_frames: int = 1 << 14) -> list[tu
 
 def _wav_batches(rate: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sub_batches(batches, 1, 2 << 20):
             data, offsets = text_bytes(batch.column(1))
-            for start, stop in row_ranges(offsets, 8 << 20):
-                media, sizes = [], []
-                for lo, hi in zip(offsets[start:stop].tolist(), offsets[start + 1 : stop + 1].tolist(), strict=True):
-                    n = hi - lo
-                    media.append(wav_bytes(data[lo:hi].tobytes() + bytes(max(BLOCK, -(-n // BLOCK) * BLOCK) - n), rate))
-                    sizes.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+            media, sizes = [], []
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                n = hi - lo
+                media.append(wav_bytes(data[lo:hi].tobytes() + bytes(max(BLOCK, -(-n // BLOCK) * BLOCK) - n), rate))
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     return run
 
@@ -125,22 +122,18 @@ def text_to_wav(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_bytes(batch.column(2))
-        for start, stop in row_ranges(offsets, 4 << 20):
-            media = [x.as_py() for x in batch.column(2).slice(start, stop - start)]
-            held = [wav_samples(x) for x in media]
-            pairs = peak_pairs([np.frombuffer(x, np.uint8) for x in held])
-            cut = pa.array(np.concatenate(([0], np.cumsum([len(c) for c, _ in pairs]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([p[k] for p in pairs]))) for k in (0, 1)]
-            own = [
-                pa.array([len(x) for x in held], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in held]),
-                pa.array([zlib.crc32(x[-BLOCK:]) for x in held], pa.int64()), pa.array([len(x) for x in media], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in media]), *lists,
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start), *own], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codes", "times"])
+    for batch in sub_batches(batches, 2, 1 << 20):
+        media = batch.column(2).to_pylist()
+        held = [wav_samples(x) for x in media]
+        pairs = peak_pairs([np.frombuffer(x, np.uint8) for x in held])
+        cut = pa.array(np.concatenate(([0], np.cumsum([len(c) for c, _ in pairs]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([p[k] for p in pairs]))) for k in (0, 1)]
+        own = [
+            pa.array([len(x) for x in held], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in held]),
+            pa.array([zlib.crc32(x[-BLOCK:]) for x in held], pa.int64()), pa.array([len(x) for x in media], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in media]), *lists,
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codes", "times"])
 
 
 def fingerprint_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -152,3 +145,8 @@ def fingerprint_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     source = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codes array<int>, times array<int>"
     return source.mapInArrow(_fingerprint_batches, schema).withColumnRenamed("id", id_col)
+
+
+def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: int = 8000) -> DataFrame:
+    """text_to_wav written to Parquet in the shared folder, and read from there: what follows sees the stored bytes alone."""
+    return materialize(text_to_wav(docs, id_col=id_col, text_col=text_col, rate=rate))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bitpack import token_files
 from .common import read_table
 from .langid import fit, identify, training_fold
-from .media import fingerprint_media, text_to_wav
+from .media import fingerprint_media, store_media
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -134,10 +134,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint_media(text_to_wav(read_table(spark, sf_dir, "documents")))
+    found = fingerprint_media(store_media(read_table(spark, sf_dir, "documents")))
     codes = F.sha2(F.concat_ws(";", F.array_join("codes", ","), F.array_join("times", ",")), 256)
     feature = F.concat_ws(":", F.size("codes").cast("string"), codes)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codes", "times")
 
 
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
