@@ -2,7 +2,7 @@
 
 Strings of key characters are candidates. A window slides over each; its Shannon entropy follows from the counts of its
 characters, which change by one arriving and one leaving, and is held against the threshold of the candidate's character
-class. Strings on the allow list are let be.
+class. Windows that the allow list knows are let be.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import sub_batches, text_bytes
 
 #: Kinds of the contract and their patterns (fixed values): the span is the whole match; assign counts the length of group 2.
 BASE = {
@@ -37,6 +37,7 @@ CLASSES = (
 )
 ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0{8}", r"(?i)0123456789|abcdefghij", r"^[a-z]+(?:[-_/][a-z]+)*[-_/]?\d{0,4}$", r"^(?:[A-Za-z]+[-_/])+\d{0,4}$")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9]+")
 _IN_KEY = np.zeros(256, bool)
 _IN_KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 _IN_HEX = np.zeros(256, bool)
@@ -52,7 +53,7 @@ def window_entropies(text: str, width: int) -> Iterator[tuple[int, float]]:
     width = min(width, len(text))
     if not width:
         return
-    weight = [k * math.log2(k) if k else 0.0 for k in range(width + 1)]
+    weight = [k * math.log2(k) if k else 0.0 for k in range(width + 2)]  # one arrives before one leaves
     counts: dict[str, int] = {}
     total = 0.0
     for k, c in enumerate(text):
@@ -82,24 +83,46 @@ def base_spans(text: str, hexes: bool = True) -> list[Span]:
     return out
 
 
+def _judged(word: str, width: int) -> Iterator[tuple[int, str, float]]:
+    """(start, part, least entropy) of what is measured in a candidate.
+
+    A candidate of one class is measured whole. One whose separators hide its class (lower case and digits behind a prefix)
+    is measured by its separator-free runs of a window or more, each under its own class.
+    """
+    kind = _class_of(word)
+    if kind is not None:
+        yield 0, word, kind
+        return
+    for m in _RUN.finditer(word):
+        if m.end() - m.start() >= width and m.end() - m.start() < len(word) and (kind := _class_of(m.group())) is not None:
+            yield m.start(), m.group(), kind
+
+
+def _class_of(word: str) -> float | None:
+    """The least entropy of the first class that has all characters of the word, if the word holds what that class must."""
+    kind = next(((bits, needs) for _, chars, bits, needs in CLASSES if chars.fullmatch(word)), None)
+    return kind[0] if kind is not None and all(re.search(x, word) for x in kind[1]) else None
+
+
 def entropy_spans(text: str, *, width: int = 20, allowed: tuple[str, ...] = ALLOWED) -> list[Span]:
-    """Runs of windows that are too random for their class, outside the allow list."""
+    """Runs of windows that are too random for their class. A window that holds a match of the allow list, or lies in one, is let be."""
     out = []
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        kind = next(((bits, needs) for _, chars, bits, needs in CLASSES if chars.fullmatch(word)), None)
-        if kind is None or not all(re.search(x, word) for x in kind[1]) or any(re.search(x, word) for x in allowed):
-            continue
-        lo = hi = None
-        for at, bits in window_entropies(word, width):
-            if bits >= kind[0]:
-                if hi is not None and at > hi:
-                    out.append(("entropy", m.start() + lo, m.start() + hi))
-                    lo = None
-                lo = at if lo is None else lo
-                hi = min(at + width, len(word))
-        if lo is not None:
-            out.append(("entropy", m.start() + lo, m.start() + hi))
+        known: list[tuple[int, int]] | None = None
+        for start, part, least in _judged(word, width):
+            known = [x.span() for pattern in allowed for x in re.finditer(pattern, word)] if known is None else known
+            lo = hi = None
+            for at, bits in window_entropies(part, width):
+                end = min(at + width, len(part))
+                if bits >= least and not any((start + at <= a and b <= start + end) or (a <= start + at and start + end <= b) for a, b in known):
+                    if hi is not None and at > hi:
+                        out.append(("entropy", m.start() + start + lo, m.start() + start + hi))
+                        lo = None
+                    lo = at if lo is None else lo
+                    hi = end
+            if lo is not None:
+                out.append(("entropy", m.start() + start + lo, m.start() + start + hi))
     return out
 
 
@@ -143,14 +166,14 @@ def suspects(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A run of 4 * k + 3 bytes covers k aligned blocks of four, wherever it begins.
     """
     data, offsets = text_bytes(col)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data], dtype=np.int64)))
-    return _run_rows(_IN_HEX[data], offsets, 3), _run_rows(_IN_KEY[data], offsets, 4) & (digits[offsets[1:]] > digits[offsets[:-1]])
+    digits = np.searchsorted(np.flatnonzero(_DIGIT[data]), offsets)
+    return _run_rows(_IN_HEX[data], offsets, 3), _run_rows(_IN_KEY[data], offsets, 4) & (digits[1:] > digits[:-1])
 
 
 def _scan_batches(width: int, allowed: tuple[str, ...], mask: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in sub_batches(batches, 1, 1 << 20):
             hexes, keys = suspects(batch.column(1))
             out: list[tuple] = []
             for text, h, k in zip(batch.column(1).to_pylist(), hexes.tolist(), keys.tolist(), strict=True):
