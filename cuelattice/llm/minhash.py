@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, materialize, sub_batches, text_bytes
+from .common import SPACE_BYTES, arrow_rows, discard, materialize, release_memory, sub_batches, text_bytes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,7 +104,7 @@ def least_overlap(k: int, num: int, den: int) -> int:
 def _sketch_batches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for batch in sub_batches(batches, 1, 4 << 20):
+        for batch in sub_batches(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1), width)
             with np.errstate(over="ignore"):
                 spread = [mix64(s.view(np.uint64)) for s in sets]
@@ -120,7 +121,7 @@ def _sketch_batches(width: int, k: int):
 def _set_batches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for batch in sub_batches(batches, 1, 4 << 20):
+        for batch in sub_batches(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1), width)
             offsets = np.concatenate(([0], np.cumsum([min(k, len(s)) for s in sets]))).astype(np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s[:k] for s in sets])))
@@ -139,6 +140,7 @@ def _verify_batches(num: int, den: int):
                 yes.append(den * both >= num * (len(x) + len(y) - both))
             keep = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            release_memory()
 
     return run
 
@@ -152,7 +154,7 @@ def _keyed_lists(sets: DataFrame, num: int, den: int) -> DataFrame:
     enough for the smallest partner there. Rows: v, b1, b2, own (the set's band), id, n, at (place), alone (values that no
     other set holds).
     """
-    values = sets.mapInArrow(_explode_batches, "id long, n long, v long")
+    values = sets.mapInArrow(_explode_batches, f"id {sets.schema['id'].dataType.simpleString()}, n long, v long")
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = values.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     least = F.ceil(F.col("n") * num / den)
@@ -191,7 +193,7 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
     round is written to the shared folder; only the numbers of labels and of changed ones come to the driver.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    labels = held = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     n = labels.count()
     parts = 1 + n // 50_000  # what a reduce task writes is small
     while True:
@@ -201,8 +203,10 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
         after = seen.join(small(jump, n), "mid", "left").select("id", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp"))
         after = materialize(after.coalesce(parts))
         changed = after.where("comp <> was").limit(1).count()
-        labels = after.select("id", "comp")
+        discard(held)
+        labels, held = after.select("id", "comp"), after
         if not changed:
+            discard(both)
             return labels, n
 
 
@@ -213,13 +217,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id reachable over links, kept tells whether it is the row's own.
 
     Null text and text without words: n_shingles 0, linked with nothing. Texts of fewer words than a shingle: the whole
-    sequence is the one shingle. Rows of equal id are one document: its texts are linked. A null id
-    is linked with nothing, has a null component_id and is kept. Other columns are ignored; an empty table gives none.
+    sequence is the one shingle. Rows of equal id are one document: its texts are linked. A null id is linked with nothing,
+    has a null component_id and is kept. Ids keep their type; strings compare by code point. Other columns are ignored; an
+    empty table gives none.
     """
     num, den = similarity
     k, o = sketch_size, least_overlap(sketch_size, num, den)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = materialize(source.mapInArrow(_sketch_batches(shingle_words, k), "id long, n long, h1 long, h2 long, sketch array<long>"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sigs = materialize(source.mapInArrow(_sketch_batches(shingle_words, k), f"id {kind}, n long, h1 long, h2 long, sketch array<long>"))
     full = sigs.where("n > 0 and id is not null")
 
     # Equal sets are one class; the smallest id stands for it.
@@ -230,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = full.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "n", "rep")
     key = F.struct("h1", "h2", "n")
     several = materialize(full.groupBy("id").agg(F.min(key).alias("k"), F.max(key).alias("m")).where("k <> m").select("id"))
-    links = full.sparkSession.createDataFrame([], "a long, b long")
+    links = full.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     if several.limit(1).count():
         of = named.join(several, "id", "left_semi").select("id", "rep")
         links = materialize(of.groupBy("id").agg(F.min("rep").alias("a")).join(of, "id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
@@ -241,33 +247,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = posts.join(often, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     need = F.least(F.lit(o), F.ceil(F.col("n") * num / den))
     listed = (F.size("vs") - need + 1).cast("int")  # those that one document alone retains are rarer and come before
-    lists = materialize(shared.where(listed > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), listed)["v"]).alias("v")))
-    counts = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = materialize(lists.join(counts, "v").select("v", "id", "n", "c"))
+    every = materialize(shared.where(listed > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), listed)["v"]).alias("v")))
+    counts = every.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = materialize(every.join(counts, "v").select("v", "id", "n", "c"))
+    discard(every)
     parts = 1 + lists.count() // 25_000
 
     members = lists.select("id").distinct()
-    sets = materialize(source.join(members, "id", "left_semi").mapInArrow(_set_batches(shingle_words, k), "id long, sketch array<long>, items binary"))
+    sets = materialize(source.join(members, "id", "left_semi").mapInArrow(_set_batches(shingle_words, k), f"id {kind}, sketch array<long>, items binary"))
     sketches = sets.select("id", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) the links: by the estimate of the union's sketch first, then by the full sets."""
+        """Of the pairs (a, b) the links, written: by the estimate of the union's sketch first, then by the full sets."""
         x, y = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
         both = pairs.join(x, "a").join(y, "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         likely = both.where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= F.least(F.lit(o), F.ceil(F.size(union) * num / den))).select("a", "b")
         x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
-        return likely.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify_batches(num, den), "a long, b long")
+        with arrow_rows(pairs.sparkSession, 500):
+            return materialize(likely.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify_batches(num, den), f"a {kind}, b {kind}").coalesce(parts))
 
     # Short lists give all their pairs. The members of the others are listed anew, by their full sets.
     close = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
     short = lists.where(F.col("c") <= short_list)
     x, y = short.select("v", F.col("id").alias("a"), F.col("n").alias("na")), short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"))
     tested = materialize(x.join(y, "v").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct().coalesce(parts))
-    links = links.union(materialize(verified(tested).coalesce(parts)))
+    found = [verified(tested)]
+    scratch = [lists, sets, tested]
     crowd = lists.where(F.col("c") > short_list).select("id", "n").distinct()
     keyed = materialize(_keyed_lists(sets.select("id", "items").join(crowd, "id"), num, den).coalesce(parts))
 
+    scratch.append(keyed)
+
     comps, n_comps = None, 0
     for turn in range(pivot_rounds + 1):
         if turn == 0:
@@ -275,9 +286,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             first = F.struct(F.col("alone") / F.col("n"), "id")  # a member that has the fewest words of its own stands nearest to all
         else:
             current = materialize(keyed.join(small(comps, n_comps), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+            scratch.append(current)
             sums = current.groupBy("v", "b1", "b2", "comp").agg(F.sum(F.when(F.col("own") == F.col("b1"), 1).otherwise(0)).alias("l"), F.sum(F.when(F.col("own") == F.col("b2"), 1).otherwise(0)).alias("r"))
             keys = materialize(sums.groupBy("v", "b1", "b2").agg((F.sum("l") * F.sum("r") - F.sum(F.col("l") * F.col("r"))).alias("todo"), F.sum(F.col("l") + F.col("r")).alias("rows")).where("todo > 0").coalesce(parts))
             todo = keys.agg(F.sum("todo"), F.sum("rows"), F.count(F.lit(1))).first()
+            scratch.append(keys)
             if not todo[0]:
                 break
             current = current.join(small(keys.select("v", "b1", "b2"), todo[2]), ["v", "b1", "b2"], "left_semi")
@@ -296,12 +309,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = pairs.where("x < y or ox < own")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs.coalesce(parts))
-        links = links.union(materialize(verified(pairs).coalesce(parts)))
+        found.append(verified(pairs))
+        scratch.append(pairs)
         tested = tested.union(pairs)
-        comps, n_comps = connected_components(links)
+        comps, n_comps = connected_components(reduce(DataFrame.union, found, links))
         if last:
             break
 
+    discard(*scratch, *found)
+
     # Every document: by its class, the class by its representative, and all texts of one id together.
     out = named.join(small(comps.withColumnRenamed("id", "rep"), n_comps), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("comp"))
     rest = sigs.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp"))
