@@ -79,6 +79,9 @@ def test_near_duplicates_edges(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (7, "a b c d e f"), (7, "u v w x y z"), (9, "u v w x y z")], "doc_id long, text string")
     got = Counter(map(tuple, minhash.near_duplicates(rows, shingle_words=3).collect()))
     assert got == Counter({(None, 4, None, True): 1, (1, 4, 1, True): 1, (7, 4, 1, False): 2, (9, 4, 1, False): 1})
+    words = " ".join(f"w{k}" for k in range(60))
+    named = spark.createDataFrame([("b", words), ("a", words + " x"), ("c", words + " x y"), ("10", "p q r s t"), ("9", None)], "doc_id string, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(named).collect())) == [("10", 1, "10", True), ("9", 0, "9", True), ("a", 57, "a", True), ("b", 56, "a", False), ("c", 58, "a", False)]
 
 
 def test_least_overlap():
@@ -279,6 +282,48 @@ def test_entropy():
     assert secrets.find_secrets("key aB3xK9pQ2mN7vL4wZ8rT5yU1 end")[1] == [("entropy", 4, 28)]
     assert secrets.find_secrets("aB3xK9pQ2mEXAMPLE4wZ8rT5yU1")[1] == []
     assert secrets.find_secrets("thisisalongwordofletters path/to/some/file/name")[1] == []
+    assert list(secrets.window_entropies("a" * 40, 20)) == [(k, 0.0) for k in range(21)]
+    # Separators don't hide a class, and an allowed segment beside a random one doesn't clear it.
+    assert secrets.find_secrets("key-3ax6xnjp29jd6fds4gc373sgvjxteol0 x")[1] == [("entropy", 4, 36)]
+    assert any(lo <= 12 and hi == 32 for _, lo, hi in secrets.find_secrets("example/aB3xK9pQ2mN7vL4wZ8rT5yU1")[1])
+    assert secrets.find_secrets("some-long-slug-of-words-2021-v2 and-another_one_of_the_kind_1234")[1] == []
+
+
+def brute_entropy(text, width=20):
+    """Spans by counting each window anew."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        word, parts = m[0], []
+        fits = lambda w: next((bits for _, chars, bits, needs in secrets.CLASSES if chars.fullmatch(w) for ok in [all(re.search(x, w) for x in needs)]), None)
+        first = lambda w: next(((bits, needs) for _, chars, bits, needs in secrets.CLASSES if chars.fullmatch(w)), None)
+        good = lambda w: (k := first(w)) is not None and all(re.search(x, w) for x in k[1])
+        parts = [(0, word)] if good(word) else [x.span()[0:1] + (x[0],) for x in re.finditer("[A-Za-z0-9]+", word) if width <= len(x[0]) < len(word) and good(x[0])]
+        known = [x.span() for p in secrets.ALLOWED for x in re.finditer(p, word)]
+        for at, part in parts:
+            hit = []
+            for i in range(len(part) - width + 1):
+                n = Counter(part[i : i + width]).values()
+                lo, hi = at + i, at + i + width
+                if -sum(c / width * math.log2(c / width) for c in n) >= fits(part) - 1e-12 and not any(lo <= a and b <= hi or a <= lo and hi <= b for a, b in known):
+                    hit.append((lo, hi))
+            for lo, hi in hit:
+                if out and out[-1][2] == m.start() and lo <= out[-1][1]:
+                    out[-1] = (out[-1][0], hi, m.start())
+                else:
+                    out.append((lo, hi, m.start()))
+    return [("entropy", base + lo, base + hi) for lo, hi, base in out]
+
+
+def test_entropy_spans_by_brute_force():
+    rng = random.Random(8)
+    alphabets = ["abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ0189+/_=-", "aaab1", "example-sample/xxxx0000"]
+    found = 0
+    for _ in range(400):
+        text = " ".join("".join(rng.choice(rng.choice(alphabets) if rng.random() < 0.1 else a) for _ in range(rng.randrange(15, 60))) for a in rng.choices(alphabets, k=4))
+        got = secrets.entropy_spans(text)
+        assert got == brute_entropy(text), text
+        found += len(got)
+    assert found > 300
 
 
 # 5
@@ -316,6 +361,65 @@ def test_language(spark):
     got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and got[4].n_languages == 2 and got[5].lang_pred != "und"
     assert langid.identify(docs_of(spark, []), model).count() == 0
+    # What no learned language looks like goes; mixed texts stay, and so do columns of any name.
+    alien = ["日本語の文章はここにあります。これは学習されていない言語です。", "Это предложение на русском языке, модель его не знает", "qzx vvkj wqpf zzxk jjqw xkcd qwpv", "Ten tekst jest napisany w języku, którego model nigdy nie widział", None, "", "12 %%"]
+    rows = [(k, t, 7.5, "x") for k, t in enumerate([*alien, two, two + " " + two])]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, score double, lang_pred string")
+    assert [tuple(r) for r in langid.keep_known(mixed, model).collect()] == rows[-2:]
+    kept = langid.keep_known(d, model)
+    assert kept.count() == d.where("text is not null").count() and kept.columns == d.columns
+
+
+def brute_language(model, text, rounds=6, penalty=3.0, floor=1e-3):
+    """EM and backward elimination by plain loops: (language, number of languages)."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    data = bytes(b + 32 if k and data[k - 1] == 0xC3 and 0x80 <= b <= 0x9E else b for k, b in enumerate(data))
+    like = []
+    for w in data.split():
+        w = b" " + w + b" "
+        codes = [((((w[i - 1] << 16) | (w[i] << 8) | w[i + 1]) * 0x9E3779B1) % 2**32) >> (32 - model.bits) for i in range(1, len(w) - 1)]
+        logs = [sum(float(model.table[j][c]) for c in codes) for j in range(len(model.names))]
+        like.append([max(math.exp(x - max(logs)), floor) for x in logs])
+    alive, theta, best = list(range(len(model.names))), {j: 1 / len(model.names) for j in range(len(model.names))}, None
+    while alive:
+        m = len(alive)
+        for _ in range(0 if m == 1 else rounds if m == len(model.names) else 2):
+            sums = dict.fromkeys(alive, 0.0)
+            for p in like:
+                total = sum(p[j] * theta[j] for j in alive)
+                for j in alive:
+                    sums[j] += p[j] * theta[j] / total
+            theta = {j: sums[j] / len(like) for j in alive}
+        value = sum(math.log(max(sum(p[j] * theta[j] for j in alive), 1e-30)) for p in like) - penalty * m * math.log(max(2, len(like))) / 2
+        if best is None or value >= best[0]:
+            best = (value, model.names[max(alive, key=lambda j: (theta[j], -j))], m)
+        alive.remove(max(alive, key=lambda j: (-theta[j], j)))
+        theta = {j: max(theta[j], 1e-6) for j in alive}
+        theta = {j: x / sum(theta.values()) for j, x in theta.items()}
+    return best[1:]
+
+
+def language_model(words, bits=12):
+    """A model of given words by language, without Spark."""
+    names = sorted(words)
+    counts = np.zeros((len(names), 1 << bits))
+    for k, name in enumerate(names):
+        codes, _, _ = langid.trigram_codes(*langid.text_bytes(pa.array([" ".join(words[name])])), bits)
+        counts[k] = np.bincount(codes, minlength=1 << bits)
+    table = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 1))
+    return langid.LanguageModel(names, table.astype(np.float32), bits, counts.sum(0) > 0)
+
+
+def test_language_by_plain_loops():
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)] for lang, letters in {"a": "abcde", "b": "cdefg", "c": "ghijé", "d": "klmno", "e": "stuvw"}.items()}
+    model = language_model(words)
+    texts = [" ".join(w for lang in rng.sample("abcde", rng.randrange(1, 6)) for w in rng.choices(words[lang], k=rng.randrange(1, 40))) for _ in range(60)] + ["Gé É", "a"]
+    pred, score, count, _ = langid.infer(model, pa.array(texts))
+    assert [(x, int(c)) for x, c in zip(pred, count, strict=True)] == [brute_language(model, t) for t in texts]
+    assert max(count) >= 4 and all(0 <= x <= 1 for x in score)
+    tie = langid.LanguageModel(["p", "q"], np.stack([model.table[0]] * 2), model.bits, model.seen)
+    assert langid.infer(tie, pa.array(["abc de", "abc"]))[0] == ["p", "p"]
 
 
 # 7
@@ -355,7 +459,7 @@ def test_token_files(spark):
 
 def test_media(spark):
     texts = some_texts()[:30] + [None, "", "é" * 40, "same text", "same text"]
-    found = {r.doc_id: r for r in media.fingerprint_media(media.text_to_wav(docs_of(spark, texts))).collect()}
+    found = {r.doc_id: r for r in media.fingerprint_media(media.store_media(docs_of(spark, texts))).collect()}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
@@ -366,6 +470,23 @@ def test_media(spark):
     assert media.fingerprint_media(media.text_to_wav(docs_of(spark, []))).count() == 0
 
 
+def test_peak_pairs_by_plain_loops():
+    rng = np.random.default_rng(6)
+    samples = [rng.integers(32, 123, n, dtype=np.uint8) for n in (64, 256, 257, 640, 3000)] + [np.full(700, 128, np.uint8)]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    for s, (codes, times) in zip(samples, media.peak_pairs(samples, most_frames=5), strict=True):
+        n = 1 + max(0, -(-(len(s) - 256) // 128))
+        x = np.zeros(256 + 128 * (n - 1))
+        x[: len(s)] = (s.astype(float) - 128) / 128
+        peaks = []
+        for k in range(n):
+            size = [abs(sum(x[128 * k + i] * hann[i] * np.exp(-2j * np.pi * f * np.arange(256)[i] / 256) for i in range(256))) if n < 4 else None for f in range(129)] if n < 2 else np.abs(np.fft.rfft(x[128 * k : 128 * k + 256] * hann))
+            tops = [f for f in range(1, 128) if size[f] > size[f - 1] and size[f] >= size[f + 1] and size[f] > 1e-3]
+            peaks.append(sorted(tops, key=lambda f: -size[f])[:2])
+        want = [(k, (a << 10) | (peaks[k + step][0] << 2) | step) for k in range(n) for a in peaks[k] for step in (1, 2) if k + step < n and peaks[k + step]]
+        assert sorted(want) == list(zip(times.tolist(), codes.tolist(), strict=True))
+
+
 def test_peaks_of_a_tone():
     t = np.arange(2048)
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * t / 256)).astype(np.uint8)
