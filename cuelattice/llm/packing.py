@@ -1,16 +1,17 @@
 """Best-fit packing of tokenized documents into fixed-length sequences by bin completion.
 
 The plan needs only how many pieces have each length, a table as long as a sequence at most, so it is made once for the
-whole corpus: around the largest remaining piece the undominated fillings are enumerated, the one that wastes least is
-laid out as often as the counts allow, and a depth-first search with a bound on the waste goes back to other fillings
-while its node budget lasts. The best-fit-decreasing solution is the first incumbent. Pieces then find their place by
-their rank among the pieces of their length.
+whole corpus: around the largest remaining piece all undominated fillings are enumerated, least waste first, and a
+depth-first search goes through them, each laid out as often as the counts allow first, as long as the waste allows one bin
+less than the incumbent has. The best-fit-decreasing solution is the first incumbent. Pieces then find their place by their
+rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,94 +24,89 @@ from .tokens import WordTokenizer
 Pattern = tuple[tuple[int, ...], int]
 
 
+class _Spent(Exception):
+    """The budget of a search is used up."""
+
+
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Best fit over a table of counts by length: each largest piece is joined by the largest pieces that still fit."""
-    counts, out = counts.copy(), []
-    while (alive := np.flatnonzero(counts)).size:
-        room, fill = capacity - int(alive[-1]), [int(alive[-1])]
-        counts[fill[0]] -= 1
-        own = counts.copy()
-        while room > 0:
-            fits = np.flatnonzero(own[: room + 1])
-            if not fits.size:
-                break
-            x = int(fits[-1])
-            k = min(int(own[x]), room // x)
-            fill += [x] * k
-            own[x] -= k
-            room -= k * x
-        counts[fill[0]] += 1
-        times = min(int(counts[x]) // fill.count(x) for x in set(fill))
-        for x in fill:
-            counts[x] -= times
-        out.append((tuple(fill), times))
-    return out
-
-
-def _dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
-    """Whether the pieces of other fit into the pieces of one (Martello and Toth), tried largest first."""
-    rooms = sorted(one, reverse=True)
-    for x in sorted(other, reverse=True):
-        for k, room in enumerate(rooms):
-            if x <= room:
-                rooms[k] -= x
-                break
-        else:
-            return False
-    return True
-
-
-def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room from what the counts hold, least waste first: of one, two, three or more pieces."""
-    if room <= 0:
-        return [()]
-    have = np.flatnonzero(counts[: room + 1])
-    if not have.size:
-        return [()]
-    if have[-1] == room:
-        return [(room,)]  # one piece that fills the room dominates all else
-    found: list[tuple[int, ...]] = [(int(have[-1]),)]
-    below = np.zeros(room + 1, np.int64)  # the largest length at hand up to each length
-    below[have] = have
-    np.maximum.accumulate(below, out=below)
-
-    def pair(space: int, top: int, but: dict[int, int]) -> tuple[int, ...]:
-        """The best two pieces in a space, none over top."""
-        a = have[(have <= min(space, top)) & (counts[have] > np.array([but.get(int(x), 0) for x in have]))] if but else have[have <= min(space, top)]
-        if not a.size:
-            return ()
-        b = below[np.minimum(a, space - a)]
-        twice = (b == a) & (counts[a] - sum(but.values()) < 2)
-        b = np.where(twice, below[np.maximum(b - 1, 0)], b)
-        k = int(np.lexsort((a, a + b))[-1])
-        return (int(a[k]), int(b[k])) if b[k] > 0 else (int(a[k]),)
-
-    two = pair(room, room, {})
-    found.append(two)
-    if sum(two) < room and len(two) == 2:
-        best: tuple[int, ...] = two
-        for x in have[::-1][:24]:
-            x = int(x)
-            rest = pair(room - x, x, {x: 1})
-            if any(int(counts[y]) < (x, *rest).count(y) for y in (x, *rest)):
-                continue
-            if sum(rest) + x > sum(best):
-                best = (x, *rest)
-                if sum(best) == room:
-                    break
-        # What room is left takes further pieces, largest first.
-        for base in (best, (int(have[-1]),)):
-            fill, left = list(base), room - sum(base)
-            while left > 0 and (fits := [int(y) for y in have[have <= left][::-1][:8] if counts[y] > fill.count(int(y))]):
-                fill.append(fits[0])
-                left -= fits[0]
-            found.append(tuple(fill))
-    found = sorted(set(tuple(sorted(f, reverse=True)) for f in found if f), key=lambda f: (-sum(f), len(f)))
-    kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(_dominates(g, f) for g in kept):
-            kept.append(f)
-    return kept[:most]
+    """Best fit over a table of counts by length, largest first: each piece goes where the least room is left for it.
+
+    Bins of equal contents are held as one group. A bin that takes a piece stays the tightest while it can take another, so
+    it is filled up with that length before the next bin is looked at.
+    """
+    groups: dict[int, list[Pattern]] = {}  # by room left
+    open_rooms = np.zeros(capacity + 1, bool)
+
+    def put(room: int, pattern: Pattern) -> None:
+        groups.setdefault(room, []).append(pattern)
+        open_rooms[room] = True
+
+    for x in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[x])
+        while left:
+            at = x + int(open_rooms[x:].argmax())
+            if open_rooms[at]:
+                room, (fill, times) = at, groups[at].pop()
+                open_rooms[at] = bool(groups[at])
+            else:
+                room, fill, times = capacity, (), left
+            each = min(room // x, left)
+            took = min(times, left // each)
+            put(room - each * x, (fill + (x,) * each, took))
+            if fill and took < times:
+                put(room, (fill, times - took))
+            left -= took * each
+    return [g for held in groups.values() for g in held]
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, spend: Callable[[int], None]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of a room from what the counts hold that waste no more than allowed, least waste first.
+
+    The sums that the lengths up to each one reach are bit sets, so all fillings of a sum are found without a dead end,
+    larger pieces first. A filling is dominated, and left out, if a piece at hand fits in beside it, or fits in the place of
+    one or two of its pieces and is no smaller than they are.
+    """
+    have = np.flatnonzero(counts[: room + 1]).tolist()
+    own = [int(counts[x]) for x in have]
+    spend(1 + len(have))
+    mask, below = (1 << (room + 1)) - 1, [1]  # below[k]: sums of the first k lengths
+    for x, n in zip(have, own, strict=True):
+        bits, left, step = below[-1], min(n, room // x), 1
+        while left:
+            take = min(step, left)
+            bits |= (bits << (take * x)) & mask
+            left, step = left - take, step * 2
+        below.append(bits)
+
+    def dominated(used: dict[int, int], slack: int) -> bool:
+        rest = [x for x, n in zip(have, own, strict=True) if n > used.get(x, 0)]
+        held = sorted(used)
+        places = [0, *held, *(y + z for k, y in enumerate(held) for z in held[k:] if y != z or used[y] > 1)]
+        for size in places:
+            # A single piece gives way to a longer one only, a pair to an equal one too.
+            at = bisect_right(rest, size) if size in used or not size else bisect_left(rest, size)
+            if at < len(rest) and rest[at] <= size + slack:
+                return True
+        return False
+
+    def of_sum(k: int, left: int) -> Iterator[tuple[int, ...]]:
+        spend(1)
+        while left:
+            x = have[k - 1]
+            ways = [n for n in range(min(own[k - 1], left // x), -1, -1) if below[k - 1] >> (left - n * x) & 1]
+            k -= 1
+            if ways != [0]:
+                for n in ways:
+                    for rest in of_sum(k, left - n * x):
+                        yield (x,) * n + rest
+                return
+        yield ()
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if below[-1] >> total & 1:
+            for f in of_sum(len(have), total):
+                if not dominated({x: f.count(x) for x in f}, room - total):
+                    yield f
 
 
 def bins_at_least(counts: np.ndarray, capacity: int) -> int:
@@ -125,53 +121,105 @@ def bins_at_least(counts: np.ndarray, capacity: int) -> int:
     return int((alone + beside + np.maximum(0, -(-(small - (beside * capacity - room)) // capacity))).max())
 
 
-def bin_completion(counts: np.ndarray, capacity: int, node_budget: int = 4_000) -> list[Pattern]:
-    """Patterns (lengths, times) that hold all pieces in as few bins as the search finds within its node budget.
+def _completed(counts: np.ndarray, capacity: int, goal: int, spend: Callable[[int], None]) -> list[Pattern] | None:
+    """Patterns of at most goal bins, by depth-first search over the fillings around the largest piece; None if there are none.
 
-    counts[x] is the number of pieces of length x. A branch ends when its waste shows that it can't beat the incumbent.
+    What goal bins leave over is all that a branch may waste. Bins around equal largest pieces come in the order of their
+    fillings, so no set of bins is tried twice.
     """
-    counts = counts.astype(np.int64)
-    total = int((counts * np.arange(len(counts))).sum())
-    least = bins_at_least(counts, capacity)
-    best = best_fit_decreasing(counts, capacity)
-    best_bins = sum(k for _, k in best)
-    state, path, waste, bins, nodes = counts.copy(), [], 0, 0, 0
-    stack: list[list[tuple[int, ...]]] = []
-    while best_bins > least:
-        alive = np.flatnonzero(state)
-        options: list[tuple[int, ...]] = []
-        if not alive.size:
-            if bins < best_bins:
-                best, best_bins = list(path), bins
-        elif nodes < node_budget and waste <= (best_bins - 1) * capacity - total:
-            largest = int(alive[-1])
-            state[largest] -= 1
-            options = [(largest, *f) for f in fillings(state, capacity - largest)][::-1]
-            state[largest] += 1
-        nodes += 1
-        stack.append(options)
-        while stack and not stack[-1]:
-            stack.pop()
-            if path:
-                fill, times = path.pop()
-                for x in fill:
-                    state[x] += times
-                bins -= times
-                waste -= times * (capacity - sum(fill))
-        if not stack:
-            break
-        fill = stack[-1].pop()
-        times = min(int(state[x]) // fill.count(x) for x in set(fill))
+    state = counts.astype(np.int64)
+    spare = goal * capacity - int((state * np.arange(len(state))).sum())
+    path: list[Pattern] = []
+    stack: list[Iterator[Pattern]] = []
+    waste = bins = 0
+
+    def options() -> Iterator[Pattern]:
+        x = int(np.flatnonzero(state)[-1])
+        if waste > spare or bins + bins_at_least(state, capacity) > goal:
+            return
+        rest = state.copy()
+        rest[x] -= 1
+        order = lambda f: (-sum(f), *(-y for y in f))
+        last = order(path[-1][0][1:]) if path and path[-1][0][0] == x else None
+        left = spare - waste
+        for f in fillings(rest, capacity - x, left, spend):
+            if last is None or order(f) > last:
+                fill = (x, *f)
+                loss = capacity - sum(fill)
+                most = min(int(rest[y] + (y == x)) // fill.count(y) for y in set(fill))
+                for times in range(min(most, left // loss) if loss else most, 0, -1):
+                    yield fill, times
+
+    def lay(fill: tuple[int, ...], times: int) -> None:
+        nonlocal waste, bins
         for x in fill:
             state[x] -= times
-        path.append((fill, times))
-        bins += times
         waste += times * (capacity - sum(fill))
-        if nodes >= 2 * node_budget:
-            break
+        bins += times
+
+    while state.any():
+        stack.append(options())
+        while (step := next(stack[-1], None)) is None:
+            stack.pop()
+            if not stack:
+                return None
+            fill, times = path.pop()
+            lay(fill, -times)
+        path.append(step)
+        lay(*step)
+    return path if bins <= goal else None
+
+
+def bin_completion(counts: np.ndarray, capacity: int, budget: int = 100_000) -> list[Pattern]:
+    """Patterns (lengths, times) that hold all pieces in as few bins as the search finds.
+
+    counts[x] is the number of pieces of length x. The best-fit-decreasing solution is the first incumbent; the search asks
+    for one bin less until it meets the lower bound or has proved that there is no such solution. budget bounds its work,
+    not the result: where it ends first, the bins that waste most are searched by themselves, and the incumbent stands.
+    """
+    best = best_fit_decreasing(counts, capacity)
+    size = lambda patterns: sum(k for _, k in patterns)
+    least = bins_at_least(counts, capacity)
+    left = budget
+
+    def spend(work: int) -> None:
+        nonlocal left
+        left -= work
+        if left < 0:
+            raise _Spent
+
+    try:
+        while size(best) > least:
+            found = _completed(counts, capacity, size(best) - 1, spend)
+            if found is None:
+                return best
+            best = found
+    except _Spent:
+        left = budget
+        for bins in (12, 24, 48):
+            while size(best) > least and (found := _refit(best, capacity, bins, spend)) is not None:
+                best = found
     return best
 
 
+def _refit(patterns: list[Pattern], capacity: int, bins: int, spend: Callable[[int], None]) -> list[Pattern] | None:
+    """The patterns with one bin less among the given number of bins that waste most, if the search finds that."""
+    wasteful, counts, taken = [], np.zeros(capacity + 1, np.int64), 0
+    rest = []
+    for fill, times in sorted(patterns, key=lambda p: sum(p[0])):
+        own = min(times, bins - taken)
+        taken += own
+        for x in fill:
+            counts[x] += own
+        wasteful.append((fill, own))
+        rest.append((fill, times - own))
+    try:
+        found = _completed(counts, capacity, taken - 1, spend) if bins_at_least(counts, capacity) < taken else None
+    except _Spent:
+        return None
+    return None if found is None else [*found, *((f, k) for f, k in rest if k)]
+
+
 def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     """For each length the rows (first rank, pieces in a bin, first bin, offset in the bin), by rank."""
     taken: dict[int, int] = {}
@@ -191,7 +239,7 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path)
-        for batch in sub_batches(batches, 1, 8 << 20):
+        for batch in sub_batches(batches, 1, 2 << 20):
             ids, at = tokenizer.encode(batch.column(1))
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for k, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -229,7 +277,7 @@ def _place_batches(table: dict[int, np.ndarray]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", sequence_length: int = 2048, end_id: int = 0, node_budget: int = 4_000, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", sequence_length: int = 2048, end_id: int = 0, budget: int = 100_000, with_ids: bool = False) -> DataFrame:
     """One row per piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset), and its ids if asked for.
 
     A document is its token ids and end_id; only documents longer than a sequence are cut, into pieces of its length. Null
@@ -245,7 +293,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     counts = np.zeros(sequence_length + 1, np.int64)
     for row in histogram:
         counts[row["length"]] = row["count"]
-    table = slots(bin_completion(counts, sequence_length, node_budget))
+    table = slots(bin_completion(counts, sequence_length, budget))
     salt = F.pmod(F.xxhash64("id", "piece"), F.lit(salts_for(int(counts.sum()), sequence_length))).cast("int")
     ranked = salted_rank(pieces, ["length"], ["id", "piece", "ids_crc32"], salt, "rank")
     placed = ranked.mapInArrow(_place_batches(table), f"{schema}, sequence_id long, offset long")

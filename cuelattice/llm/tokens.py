@@ -34,7 +34,7 @@ class WordTokenizer:
 
     _held: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
