@@ -38,7 +38,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in bits each, and 8 bytes of padding."""
+    """Ids in bits each, and 8 bytes of padding. An id of more bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes() + bytes(8)
     out = []
@@ -88,7 +90,7 @@ def _encode_batches(path: str, end_id: int | None, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path)
         block, was = 0, None
-        for batch in sub_batches(batches, 2, 8 << 20):
+        for batch in sub_batches(batches, 2, 2 << 20):
             ids, at = tokenizer.encode(batch.column(2))
             if end_id is not None:
                 ids = np.insert(ids, at[1:], np.uint32(end_id))
@@ -105,21 +107,28 @@ def _encode_batches(path: str, end_id: int | None, bits: int):
     return run
 
 
-def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, vocabulary: int = 49_408, buckets: int | None = None) -> None:
+def vocabulary_of(tokenizer_path: str, end_id: int | None = None) -> int:
+    """One more than the largest id that the tokenizer file and the end id can give."""
+    whole = WordTokenizer.of(tokenizer_path).whole
+    return max([*whole.get_vocab(with_added_tokens=True).values(), -1 if end_id is None else end_id]) + 1
+
+
+def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, vocabulary: int | None = None, buckets: int | None = None) -> None:
     """Write the ids of all documents to path, in ascending order of id_col, nulls first.
 
-    Buckets of about equal numbers of documents follow from quantiles of id_col; only their bounds come to the driver.
-    Null and empty texts have the end id alone. Repeated rows are written one by one.
+    Documents are dealt to buckets by range, equal ids by a hash of their text, so neither a hot id nor null ids meet in one
+    task. There are as many buckets as shuffle partitions, or as the table has scan partitions if those are more. Null and
+    empty texts have the end id alone. Repeated rows are written one by one. vocabulary: ids are below it; that of the
+    tokenizer file if None.
     """
     spark = docs.sparkSession
-    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    key = docs.select(F.col(id_col).cast("long").alias("id"))
-    bounds = sorted(set(key.approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-    bounds = [int(b) for b in bounds]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.coalesce(F.col("id"), F.lit(-(2**63))))) if bounds else F.lit(0)
-    dealt = rows.select(bucket.cast("int").alias("bucket"), "id", "text").repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first())
-    blocks = dealt.mapInArrow(_encode_batches(tokenizer_path, end_id, bits_for(vocabulary)), "bucket int, block int, n_ids long, ids_of array<long>, data binary")
+    bits = bits_for(vocabulary_of(tokenizer_path, end_id) if vocabulary is None else vocabulary)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.queryExecution().toRdd().getNumPartitions())
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("bucket"), "id", "text")
+    blocks = dealt.mapInArrow(_encode_batches(tokenizer_path, end_id, bits), f"bucket int, block int, n_ids long, ids_of array<{kind}>, data binary")
     blocks.write.option("compression", "zstd").parquet(path)
 
 
@@ -138,10 +147,32 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([names.values, pa.array([bucket.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int32()), pa.array(offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["id", "bucket", "block", "at", "n_tokens", "ids_crc32"])
 
 
+def token_places(spark, path: str) -> DataFrame:
+    """(id, file, bucket, block, place): where each document's ids lie, without reading them."""
+    return spark.read.parquet(path).select(F.input_file_name().alias("file"), "bucket", "block", F.posexplode("ids_of").alias("place", "id")).select("id", "file", "bucket", "block", "place")
+
+
+def read_tokens(spark, path: str, wanted: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, ids) of the documents named in wanted: each is unpacked at its place, the rest of its block is not."""
+    own = token_places(spark, path).join(wanted.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    kind = own.schema["id"].dataType.simpleString()
+    places = own.groupBy("bucket", "block").agg(F.collect_list(F.struct("place", "id")).alias("p"))
+    held = spark.read.parquet(path).select("bucket", "block", "data").join(places, ["bucket", "block"])
+    return held.select(F.transform("p", lambda x: x["id"]).alias("names"), F.transform("p", lambda x: x["place"]).alias("places"), "data").mapInArrow(_place_batches, f"id {kind}, ids array<int>")
+
+
+def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for names, places, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            block = data.as_buffer()
+            yield pa.RecordBatch.from_arrays([names.values, pa.array([read_document(block, k).astype(np.int32) for k in places.as_py()], pa.list_(pa.int32()))], ["id", "ids"])
+
+
 def read_token_index(spark, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files: start counts the ids of all documents before it."""
     blocks = spark.read.parquet(path)
-    docs = blocks.select("bucket", "block", "ids_of", "data").mapInArrow(_decode_batches, "id long, bucket int, block int, at long, n_tokens long, ids_crc32 long")
+    kind = blocks.schema["ids_of"].dataType.elementType.simpleString()
+    docs = blocks.select("bucket", "block", "ids_of", "data").mapInArrow(_decode_batches, f"id {kind}, bucket int, block int, at long, n_tokens long, ids_crc32 long")
     sizes = blocks.groupBy("bucket", "block").agg(F.sum("n_ids").alias("n"))
     inside = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
@@ -151,11 +182,12 @@ def read_token_index(spark, path: str) -> DataFrame:
     return docs.join(starts, ["bucket", "block"]).select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, vocabulary: int = 49_408) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, vocabulary: int | None = None) -> DataFrame:
     """Write all documents' ids to files in the shared folder and describe each document from what is read back.
 
     One row per input row: (id_col, start, n_tokens, ids_crc32). Null and empty texts have the end id alone; null ids come
-    first; repeated rows each have their own place. An empty table gives none. Other columns are ignored.
+    first; repeated rows each have their own place. Ids keep their type. An empty table gives none. Other columns are
+    ignored.
     """
     import uuid
 
