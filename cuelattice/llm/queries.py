@@ -98,7 +98,7 @@ def _url_sql(support: float = 0.002, confidence: float = 0.5) -> str:
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h + p}'" for f, (_, h, p) in zip(fits, given, strict=True)) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, given, strict=True)) + " END"
     return f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
     translate(regexp_extract(coalesce(url, ''), {parts}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), {parts}, 2) AS path, regexp_extract(coalesce(url, ''), {parts}, 3) AS rest FROM pages
@@ -110,13 +110,17 @@ WITH u AS (
 ), b AS (
   SELECT rid, quality = 0 OR toxic = 1 AS bad, tokens FROM k JOIN labels ON page_id = doc_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL
 ), n AS (SELECT count(*) AS n FROM b WHERE bad OR len(tokens) > 0
-), t AS (SELECT rid, bad, unnest(tokens) AS x FROM b
-), c AS (
-  SELECT x, NULL AS y, count(*) AS f, count(*) FILTER (WHERE bad) AS g FROM t GROUP BY x
-  UNION ALL SELECT p.x, q.x, count(*), count(*) FILTER (WHERE p.bad) FROM t p JOIN t q ON p.rid = q.rid AND p.x < q.x GROUP BY 1, 2
-), r AS (SELECT x, y FROM c, n WHERE g >= ceil({support} * n) AND g >= {confidence} * f AND g > 0
+), l AS (SELECT x, count(*) FILTER (WHERE bad) AS g FROM (SELECT bad, unnest(tokens) AS x FROM b) GROUP BY x
+), o AS (SELECT coalesce(list(x), []) AS xs FROM l, n WHERE g >= ceil({support} * n)
+), q AS (SELECT rid, bad, list_sort(list_intersect(tokens, xs)) AS tokens FROM b, o
+), s AS (
+  SELECT rid, bad, tokens, []::VARCHAR[] AS held, 0 AS j FROM q
+  UNION ALL SELECT rid, bad, tokens, list_append(held, tokens[i]), i FROM (SELECT *, unnest(range(j + 1, len(tokens) + 1)) AS i FROM s)
+), c AS (SELECT held, count(*) AS f, count(*) FILTER (WHERE bad) AS g FROM s WHERE len(held) > 0 GROUP BY held
+), r AS (SELECT held FROM c, n WHERE g >= ceil({support} * n) AND g >= {confidence} * f AND g > 0
+), v AS (SELECT DISTINCT tokens FROM k
 ), m AS (
-  SELECT DISTINCT rid FROM k, r WHERE list_contains(tokens, x) AND (y IS NULL OR list_contains(tokens, y))
+  SELECT DISTINCT rid FROM k JOIN (SELECT DISTINCT tokens FROM v, r WHERE list_has_all(tokens, held)) USING (tokens)
 )
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN m.rid IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM u LEFT JOIN m USING (rid)

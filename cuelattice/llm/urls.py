@@ -15,6 +15,7 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 BAD = "label=bad"
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -46,29 +47,41 @@ def url_tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, *, least_support: float = 0.002, least_confidence: float = 0.5) -> DataFrame:
     """(rule_id, tokens, support, confidence) from rows (tokens, bad): combinations of tokens, of any length, that go with bad.
 
-    A rule that holds all tokens of another one is left out: it fits no URL that the other doesn't. An empty table gives no
-    rules.
+    Tokens that are found in the very same labelled rows can't be told apart and count as one item, so a long URL that
+    repeats is one item and not all combinations of its parts; tokens holds the alternatives of each item, any of which will
+    do. Tokens in too few bad rows are in no rule. A rule that holds all items of another one is left out: it fits no URL
+    that the other doesn't. An empty table gives no rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    schema = "rule_id string, tokens array<string>, support double, confidence double"
-    items = materialize(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0))
-    if not items.limit(1).count():
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(items)
+    rows = materialize(labelled.where(F.col("bad") | (F.size("tokens") > 0)).select("tokens", "bad", F.monotonically_increasing_id().alias("row")))
+    n = rows.count()
+    none = spark.createDataFrame([], "rule_id string, tokens array<array<string>>, support double, confidence double")
+    if not n:
+        return none
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.count_if("bad").alias("g"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where(F.col("g") >= F.ceil(F.lit(least_support * n)))
+    # At most tokens of a row / least_support tokens are that frequent.
+    items = materialize(marks.groupBy("f", "g", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("alternatives")).select(F.col("alternatives")[0].alias("item"), "alternatives"))
+    named = items.select("item", F.explode("alternatives").alias("token"))
+    sets = each.join(F.broadcast(named), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    held = rows.select("row", "bad").join(sets, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    baskets = materialize(held.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1) == BAD)
-    tokens = F.array_sort("antecedent")
-    rules = materialize(found.select(F.md5(F.array_join(tokens, "\x01")).alias("rule_id"), tokens.alias("tokens"), "support", "confidence"))
-    wider = match_rules(rules.select(F.col("rule_id").alias("url"), "tokens"), rules).where("n_rules > 1")  # each fits itself
+    rules = materialize(found.select(F.md5(F.array_join(F.array_sort("antecedent"), "\x01")).alias("rule_id"), "antecedent", "support", "confidence"))
+    spread = rules.select("rule_id", F.explode("antecedent").alias("item")).join(items, "item").groupBy("rule_id").agg(F.array_sort(F.collect_list("alternatives")).alias("tokens"))
+    rules = materialize(rules.join(spread, "rule_id").select("rule_id", "tokens", "support", "confidence"))
+    wider = match_rules(rules.select(F.col("rule_id").alias("url"), F.flatten("tokens").alias("tokens")), rules).where("n_rules > 1")  # each fits itself
     return materialize(rules.join(wider, rules["rule_id"] == wider["url"], "left_anti"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, n_rules) of the URLs (url, tokens) that some rule holds for, by an inverted index of the rules' tokens."""
-    index = rules.select("rule_id", F.size("tokens").alias("needs"), F.explode("tokens").alias("token"))
+    """(url, n_rules) of the distinct URLs (url, tokens) that some rule holds for, by an inverted index of the rules' tokens."""
+    index = rules.select("rule_id", F.size("tokens").alias("needs"), F.posexplode("tokens").alias("item", "any")).select("rule_id", "needs", "item", F.explode("any").alias("token"))
     held = urls.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    full = held.groupBy("url", "rule_id").agg(F.count(F.lit(1)).alias("got"), F.first("needs").alias("needs")).where("got = needs")
+    full = held.groupBy("url", "rule_id").agg(F.size(F.collect_set("item")).alias("got"), F.first("needs").alias("needs")).where("got = needs")
     return full.groupBy("url").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
@@ -76,9 +89,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     """One row per input row: (id_col, host, path, rule, verdict, n_rules).
 
     The verdict is that of the longest given rule that fits (its host or a subdomain, and a path that starts with the
-    rule's), else block if a mined rule holds, else allow; n_rules counts the mined rules that hold. Null URLs and URLs without :// have an empty host and path and
-    no mined tokens but those. Equal URLs are matched once. Labels without a page, or of null value, are not used. Other
-    columns are ignored; an empty table gives none.
+    rule's), else block if a mined rule holds, else allow; n_rules counts the mined rules that hold. Null URLs and URLs
+    without :// have an empty host and path, so no rule holds for them. Equal URLs are matched once; repeated rows and null
+    ids are answered row by row. Labels without a page, or of null value, are not used. Other columns are ignored; an empty
+    table gives none.
     """
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1) if bad is None else bad
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
@@ -87,7 +101,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     mined = mine_rules(labelled, least_support=least_support, least_confidence=least_confidence)
     distinct = source.select("url").where("url is not null").distinct().select("url", url_tokens(F.col("url")).alias("tokens"))
     hits = match_rules(distinct, mined)
-    rows = source.join(hits, "url", "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    # A much repeated URL is dealt over salts, and so are null URLs.
+    salted = source.withColumn("salt", F.when(F.col("url").isNull(), F.pmod(F.xxhash64("id"), F.lit(1000))).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS))).cast("int"))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = salted.join(hits, ["url", "salt"], "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("given.verdict"), F.when(F.col("n_rules") > 0, "block").otherwise("allow"))
     return rows.select(F.col("id").alias(id_col), "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))
