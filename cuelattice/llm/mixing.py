@@ -53,19 +53,22 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     for depth in range(LEVEL_DIGITS, HASH_DIGITS + 1, LEVEL_DIGITS):
         s, r = state.where("not all").alias("s"), rows.alias("r")
         inside = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & F.col("r.h").startswith(F.col("s.prefix")))
-        hist = inside.groupBy(F.col("s.source").alias("source"), F.substring("r.h", 1, depth).alias("bucket")).agg(F.sum("r.size").alias("words"), F.max("s.budget").alias("budget"), F.max("s.used").alias("base"))
+        hist = inside.groupBy(F.col("s.source").alias("source"), F.substring("r.h", 1, depth).alias("bucket")).agg(F.sum("r.size").alias("words"), F.max("s.budget").alias("budget"), F.max("s.used").alias("base"), (F.min("r.h") == F.max("r.h")).alias("single"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("cum", F.col("base") + F.sum("words").over(upto))
         over = F.col("cum") > F.col("budget")
-        edge = hist.groupBy("source").agg(F.min(F.when(over, F.struct("bucket", (F.col("cum") - F.col("words")).alias("under")))).alias("e"), F.max("cum").alias("total"))
+        edge = hist.groupBy("source").agg(F.min(F.when(over, F.struct("bucket", (F.col("cum") - F.col("words")).alias("under"), "single"))).alias("e"), F.max("cum").alias("total"))
         n, o = edge.alias("n"), state.alias("o")
         state = o.join(n, F.col("o.source").eqNullSafe(F.col("n.source")), "left").select(
             "o.source", "o.budget",
             F.when(F.col("o.all"), F.col("o.prefix")).otherwise(F.coalesce(F.col("n.e.bucket"), F.col("o.prefix"))).alias("prefix"),
             F.when(F.col("o.all"), F.col("o.used")).otherwise(F.coalesce(F.col("n.e.under"), F.col("n.total"), F.col("o.used"))).alias("used"),
-            (F.col("o.all") | F.col("n.e").isNull()).alias("all"),
+            (F.col("o.all") | F.col("n.e").isNull()).alias("all"), F.coalesce("n.e.single", F.lit(False)).alias("single"),
         )
         state = materialize(state)
+        if not state.where("not all and not single").limit(1).count():
+            break  # every boundary bucket holds one hash: no further digit moves a threshold
+        state = state.drop("single")
         if depth == LEVEL_DIGITS:  # later levels read the boundary buckets alone
             s, r = state.where("not all").alias("s"), rows.alias("r")
             rows = materialize(r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & F.col("r.h").startswith(F.col("s.prefix"))).select("r.*"))
@@ -103,8 +106,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: (id_col, size, source_size, target, copies, taken).
 
     size: words [^\\x20\\x09-\\x0D]+ of the text (null: 0). copies is how often the mix takes the document whole, taken the
-    words of all copies. A source's taken words do not exceed its target; what is missing is less than any document that
-    is left out but fits in no further pass. Rows of equal id, source and size are decided alike; a null source is a
+    words of all copies. A source's taken words do not exceed its target. Each pass takes documents that still fit in what
+    the one before it left, in the order of their hashes, up to the first that does not: what is missing after the first
+    pass is less than one document, and less than a smaller one after each further pass. Rows of equal id, source and size are decided alike; a null source is a
     source of its own; a null id hashes as one id. Empty texts take part with size 0. An empty table gives none. Other
     columns are ignored. Reruns agree, as hashes depend on ids alone.
     """
@@ -119,14 +123,16 @@ def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: rows of docs, each as often as it is taken.
 
     The plan has a row for each source and meets the documents by source, so whole texts stay where they are as long as
-    Spark finds the plan small enough to broadcast.
+    Spark finds the plan small enough to broadcast. Columns keep their names, whatever they are; see mix_sources for nulls,
+    repeated rows and empty tables.
     """
     names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
     plan = plan_mix(materialize(sized_documents(docs, **names)), weights=weights, most_repeats=most_repeats, passes=passes)
-    d, c = docs.alias("d"), plan.alias("c")
-    copies = _copies(F.col("c.base"), F.col("c.cuts"), hash_digits(F.col(f"d.{id_col}")), word_count(F.col(f"d.{text_col}")))
-    many = d.join(c, F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("c.source"))).select("d.*", copies.alias("_copies")).where("_copies > 0")
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copy", "_copies")
+    own = {c: f"d{k}" for k, c in enumerate(docs.columns)}  # names that clash with none of the plan's
+    d, c = docs.select(*[F.col(name).alias(short) for name, short in own.items()]), plan
+    copies = _copies(F.col("base"), F.col("cuts"), hash_digits(F.col(own[id_col])), word_count(F.col(own[text_col])))
+    many = d.join(c, F.col(own[source_col]).cast("string").eqNullSafe(F.col("source"))).select(*own.values(), copies.alias("copies")).where("copies > 0")
+    return many.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(short).alias(name) for name, short in own.items()])
 
 
 def _copies(base: Column, cuts: Column, h: Column, size: Column) -> Column:
