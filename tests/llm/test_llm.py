@@ -124,6 +124,8 @@ def test_mix(spark):
     mix = mixing.take_mix(docs_of(spark, texts, sources))
     assert Counter(r.doc_id for r in mix.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
+    odd = spark.createDataFrame([("a", "x y", None, 1, 2), (None, "x", None, 1, 2), (None, "x", "s", 1, 2), (None, None, "s", 1, 2)], "doc_id string, text string, source string, _copies int, base int")
+    assert set(mixing.take_mix(odd).collect()) <= set(odd.collect()) and mixing.take_mix(odd).columns == odd.columns and mixing.mix_sources(odd).count() == 4
 
 
 # 2
@@ -160,11 +162,24 @@ def test_mined_rules_of_any_length(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(n, int(n not in bad), 0) for n, _ in rows], "doc_id long, quality int, toxic int")
     marks = pages.join(labels, pages.page_id == labels.doc_id).select(urls.url_tokens(F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("bad"))
-    assert {frozenset(r.tokens) for r in urls.mine_rules(marks, least_support=0.02, least_confidence=0.6).collect()} == least
+    assert {frozenset(t for item in r.tokens for t in item) for r in urls.mine_rules(marks, least_support=0.02, least_confidence=0.6).collect()} == least
     verdicts = {r.page_id: r.verdict for r in urls.filter_urls(pages, labels, [], least_support=0.02, least_confidence=0.6).collect()}
     assert verdicts == {n: "block" if any(c <= set(t) for c in want) else "allow" for n, t in got_tokens.items()}
 
 
+def test_mined_rules_of_long_and_odd_urls(spark):
+    """A long URL that repeats is one item; repeated and null URLs, null ids and an empty table."""
+    long = "http://spam.net/" + "/".join(f"part{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    rows = [(k, long if k % 4 == 0 else f"http://good.net/say{chr(97 + k % 20)}") for k in range(80)] + [(900, "http://x.net/partaa"), (None, long), (901, None), (902, ""), (901, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' AS n_rules", "1 AS salt", "'y' AS id")
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), None) for k in range(80)], "doc_id long, quality int, toxic int")
+    got = urls.filter_urls(pages, labels, [], bad=F.col("quality") == 0).collect()
+    assert len(got) == len(rows)
+    want = {None: "block", 900: "block", 901: "allow", 902: "allow"} | {k: "block" if k % 4 == 0 else "allow" for k in range(80)}
+    assert {(r.page_id, r.verdict) for r in got} == set(want.items())
+    assert urls.filter_urls(pages.limit(0), labels, []).count() == 0
+
+
 # 3
 
 
@@ -200,6 +215,36 @@ def test_packing_is_optimal_on_small_sets():
         items = sorted((rng.randrange(3, 20) for _ in range(9)), reverse=True)
         least = next(n for n in range(1, 10) if best(items, [20] * n, 20))
         assert sum(k for _, k in packing.bin_completion(np.bincount(items, minlength=21), 20)) == least
+    # Larger sets; the first needs fillings of many pieces.
+    sets = [[43, 37, 35, 34, 31, 27, 26, 23, 21, 20, 18, 16, 15, 15, 13, 13, 12]]
+    for _ in range(150):
+        low, high = rng.choice([(5, 60), (10, 50), (20, 45), (5, 100), (25, 50)])
+        sets.append(sorted((rng.randrange(low, high) for _ in range(rng.randrange(10, 19))), reverse=True))
+    for items in sets:
+        least = next(n for n in range(-(-sum(items) // 100), 20) if best(items, [100] * n, 100))
+        plan = packing.bin_completion(np.bincount(items, minlength=101), 100)
+        assert sum(k for _, k in plan) == least and sorted((x for f, k in plan for x in f * k), reverse=True) == items
+
+
+def test_best_fit():
+    rng = random.Random(7)
+    for _ in range(60):
+        items, bins = sorted((rng.randrange(1, 40) for _ in range(80)), reverse=True), []
+        for x in items:
+            fits = [b for b in bins if sum(b) + x <= 50]
+            if fits:
+                max(fits, key=sum).append(x)
+            else:
+                bins.append([x])
+        got = packing.best_fit_decreasing(np.bincount(items, minlength=51), 50)
+        assert Counter(sum(f) for f, k in got for _ in range(k)) == Counter(map(sum, bins))
+
+
+def test_search_without_budget():
+    counts = np.bincount(np.random.default_rng(3).integers(200, 500, 500), minlength=1001)
+    few = packing.bin_completion(counts, 1000, budget=1)
+    held = sum((np.bincount(f * k, minlength=1001) for f, k in few), np.zeros(1001, np.int64))
+    assert (held == counts).all() and all(sum(f) <= 1000 for f, _ in few)
 
 
 def test_pack(spark):
@@ -438,6 +483,9 @@ def test_bit_packing():
     with pytest.raises(ValueError, match="short"):
         bitpack.read_block(block[:-1])
     assert bitpack.bits_for(49_408) == 16 and bitpack.bits_for(2) == 1
+    for bits in (5, 16):
+        with pytest.raises(ValueError, match="fit"):
+            bitpack.pack_ids(np.array([1, 2**bits], np.uint32), bits)
 
 
 def test_token_files(spark):
@@ -454,6 +502,29 @@ def test_token_files(spark):
     assert bitpack.token_files(docs_of(spark, []), word_bpe()).count() == 0
 
 
+def test_token_files_of_other_ids_and_widths(spark, tmp_path):
+    """String ids, nulls, repeats; a width that is no whole byte; single documents read at their places."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(word_bpe())
+    rows = [("b", "two words"), ("a", "x y z"), (None, "none"), (None, ""), ("a", "again"), ("é", None), ("b" * 40, "long " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    path, wide = str(tmp_path / "t"), 1 << 19
+    bitpack.write_token_blocks(docs, path, word_bpe(), vocabulary=wide, buckets=3)
+    assert {bitpack.read_block(bytes(r.data))[0] for r in spark.read.parquet(path).collect()} == {19}
+    want = Counter((k, tuple(whole.encode(t or "", add_special_tokens=False).ids + [2])) for k, t in rows)
+    index = bitpack.read_token_index(spark, path).collect()
+    assert Counter((r.id, r.n_tokens, r.ids_crc32) for r in index) == Counter((k, len(i), zlib.crc32(np.array(i, "<u4"))) for k, i in want.elements())
+    order = sorted(index, key=lambda r: r.start)
+    assert [r.id is not None for r in order] == sorted(r.id is not None for r in order) and [r.id for r in order[2:]] == sorted(r.id for r in order[2:])
+    assert [r.start for r in order] == [sum(r.n_tokens for r in order[:k]) for k in range(len(order))]
+    some = spark.createDataFrame([("a",), ("é",), ("nowhere",)], "id string")
+    got = Counter((r.id, tuple(r.ids)) for r in bitpack.read_tokens(spark, path, some).collect())
+    assert got == Counter({k: n for k, n in want.items() if k[0] in ("a", "é")})
+    assert bitpack.token_places(spark, path).count() == len(rows)
+    assert bitpack.vocabulary_of(word_bpe()) == whole.get_vocab_size()
+
+
 # 8
 
 
@@ -498,32 +569,50 @@ def test_peaks_of_a_tone():
 # 9
 
 
-def test_shards(spark):
-    texts = ["t" * (k % 50) for k in range(400)] + [None, "", "hot"] + ["hot"] * 200
-    rows = sharding.shard_documents(docs_of(spark, texts), shards=7).collect()
-    groups, slots, load = defaultdict(set), defaultdict(list), Counter()
-    sizes = Counter()
-    for r in rows:
-        t = (texts[r.doc_id] or "").encode()
-        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 8, zlib.crc32(t), "bytes", None)
-        groups[t].add(r.shard)
-        slots[r.shard].append(r.slot)
-        load[r.shard] += r.size
-        sizes[hashlib.md5(t).hexdigest()[:4]] += r.size
-    assert all(len(s) == 1 for s in groups.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    order = [sizes[k] for k in sorted(sizes)]
-
-    def shards_needed(cap):
+def least_load(order, shards):
+    """The least largest load of contiguous runs, by trying capacities."""
+
+    def needed(cap):
         n, at = 1, 0
         for x in order:
             n, at = (n, at + x) if at + x <= cap else (n + 1, x)
         return n
 
-    least = next(c for c in range(max(order), sum(order) + 1) if shards_needed(c) <= 7)
-    assert max(load.values()) == least
+    return next(c for c in range(max(order), sum(order) + 1) if needed(c) <= shards)
+
+
+def test_shards(spark):
+    texts = ["t" * (k % 50) for k in range(400)] + [None, "", "hot"] + ["hot"] * 200
+    for digits in (4, 1):
+        rows = sharding.shard_documents(docs_of(spark, texts), shards=7, digits=digits).collect()
+        groups, slots, load = defaultdict(set), defaultdict(list), Counter()
+        sizes = Counter()
+        for r in rows:
+            t = (texts[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 8, zlib.crc32(t), "bytes", None)
+            groups[t].add(r.shard)
+            slots[r.shard].append(r.slot)
+            load[r.shard] += r.size
+            sizes[hashlib.md5(t).hexdigest()] += r.size
+        assert all(len(s) == 1 for s in groups.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert max(load.values()) == least_load([sizes[k] for k in sorted(sizes)], 7)
     assert sharding.shard_documents(docs_of(spark, [])).count() == 0
 
 
+def test_cuts_between_groups(spark):
+    """Buckets of many groups are opened until the cuts are as good as over single groups."""
+    rng = random.Random(11)
+    for n, shards, hot in ((300, 5, 0), (300, 24, 0), (120, 6, 900), (40, 3, 5000), (5, 24, 0)):
+        rows = [(hashlib.md5(str(rng.randrange(n)).encode()).hexdigest(), rng.randrange(1, 60)) for _ in range(2 * n)] + [("ab" + "0" * 30, 1)] * hot
+        cuts, grid = sharding.minimax_cuts(spark.createDataFrame(rows, "h string, size long"), shards, digits=1, more_digits=1)
+        sizes = Counter()
+        for h, x in rows:
+            sizes[h] += x
+        cuts = sorted(cuts.collect())
+        assert len(cuts) <= shards and sum(c.load for c in cuts) == sum(sizes.values()) == grid.agg(F.sum("size")).first()[0]
+        assert max(c.load for c in cuts) == least_load([sizes[k] for k in sorted(sizes)], shards)
+
+
 # Queries and the pipeline
 
 
