@@ -121,8 +121,10 @@ def shared_characters(left: Column, right: Column) -> Column:
 
 
 def character_pairs(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters."""
-    return F.when(F.length(text) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda k: F.substring(text, k, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """Distinct pairs of neighbouring characters, in one pass over the characters."""
+    chars = F.split(text, "")
+    pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+    return F.when(F.length(text) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def epoch_seconds(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelattice.functions.text import character_pairs
+from cuelattice.operators.graph import checkpointed
 
 
 def first_of(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
@@ -78,22 +79,30 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.coalesce(F.try_divide(shared, F.least(a_end - a_start, b_end - b_start)), F.lit(0.0))
 
 
-def pair_similarity(rows: DataFrame, job: str, key: str, text: str, *, least: float, least_chars: int = 6) -> DataFrame:
+def pair_similarity(rows: DataFrame, job: str, key: str, text: str, *, least: float, least_chars: int = 6, few: int = 64) -> DataFrame:
     """DUP4: pairs of a job whose sets of neighbouring characters are as similar as least (Jaccard): a, b, similarity.
 
-    Sets meet by their rarest elements within the job: a pair that is similar enough shares one of the first
-    n - ceil(least * n) + 1 of each set, so not all rows of a job are compared with one another.
+    The sets are written once. Rows of a job of few rows meet directly, at most few / 2 pairs a row. In larger jobs sets meet
+    by their rarest elements within the job: a pair that is similar enough shares one of the first n - ceil(least * n) + 1
+    of each set, so not all rows are compared with one another.
     """
-    sets = rows.select(job, F.col(key).alias("id"), character_pairs(F.col(text)).alias("ps"), F.length(text).alias("chars")).where(F.col("chars") >= least_chars).withColumn("n", F.size("ps"))
-    each = sets.select(job, "id", "n", F.explode("ps").alias("p"))
+    sets = rows.select(job, F.col(key).alias("id"), character_pairs(F.col(text)).alias("ps"), F.length(text).alias("chars")).where(F.col("chars") >= least_chars).drop("chars")
+    sets = checkpointed(sets.withColumn("n", F.size("ps")))
+    sizes = sets.groupBy(job).agg(F.count(F.lit(1)).alias("_rows"))
+    own = sets.select(job, "id", "n").join(sizes, job)
+    near = own.where(F.col("_rows") <= few).where("n > 0").select(job, "id", "n")
+    x, y = near.select(job, F.col("id").alias("a"), F.col("n").alias("na")), near.select(job, F.col("id").alias("b"), F.col("n").alias("nb"))
+    direct = x.join(y, job).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))).select(job, "a", "b")
+    crowded = sizes.where(F.col("_rows") > few).select(job)
+    each = sets.join(crowded, job, "left_semi").select(job, "id", "n", F.explode("ps").alias("p"))
     often = each.groupBy(job, "p").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(often, [job, "p"]).withColumn("at", F.row_number().over(Window.partitionBy(job, "id").orderBy("df", "p")))
     prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(job, "id", "p")
-    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col(f"x.{job}") == F.col(f"y.{job}")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id"))).select(F.col(f"x.{job}"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pa, pb = sets.select(job, F.col("id").alias("a"), F.col("ps").alias("pa")), sets.select(job, F.col("id").alias("b"), F.col("ps").alias("pb"))
-    both = pairs.join(pa, [job, "a"]).join(pb, [job, "b"])
-    similarity = F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb"))
-    return both.withColumn("similarity", similarity).where(F.col("similarity") >= least).select(job, "a", "b", "similarity")
+    met = prefix.alias("x").join(prefix.alias("y"), (F.col(f"x.{job}") == F.col(f"y.{job}")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id"))).select(F.col(f"x.{job}"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = direct.union(met)
+    pa, pb = sets.select(job, F.col("id").alias("a"), F.col("ps").alias("pa"), F.col("n").alias("na")), sets.select(job, F.col("id").alias("b"), F.col("ps").alias("pb"), F.col("n").alias("nb"))
+    both = pairs.join(pa, [job, "a"]).join(pb, [job, "b"]).select(job, "a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("_shared"))
+    return both.withColumn("similarity", F.col("_shared") / (F.col("na") + F.col("nb") - F.col("_shared"))).where(F.col("similarity") >= least).select(job, "a", "b", "similarity")
 
 
 def free_suffix(wanted: DataFrame, used: DataFrame, name: str, *, first: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions.vocab import LATIN
 from cuelattice.operators import folds as D
 from cuelattice.operators import validate as V
+from cuelattice.operators.graph import checkpointed
 from cuelattice.operators.scoring import best_label
 from cuelattice.plans import pipelines
 from cuelattice.plans.adapters import atoms, clauses, table, timeline, with_tables, words
@@ -151,7 +152,7 @@ g AS (SELECT job, sum("end" - start) AS t, count(*) AS n, count(*) FILTER (WHERE
 SELECT job, code, min(level) AS level, first, last FROM x GROUP BY job, code, first, last""")
 def timeline_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15, AGG16 without its near-duplicates (a cut list has no text), WIN2, WIN3: problems of every cut list."""
-    t = timeline(spark, sf_dir)
+    t = checkpointed(timeline(spark, sf_dir))  # the rules read it many times
     roles = ["hook", "result", "demo", "material", "close", "proof"]
     return V.distinct_issues(V.union([
         V.segment_issues(t, "job", "pos", least=1200, most=5000, margin=300, most_demo=8000, roles=roles),

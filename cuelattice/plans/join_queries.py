@@ -74,7 +74,7 @@ def rebased_clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("job", "id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(items, lambda x: x["w"]), "").alias("text"))
 
 
-_SHIFTED = """shifted AS (SELECT job, pos, s + 350 AS s, e + 350 AS e FROM words WHERE pos % 5 = 0), near AS (
+_SHIFTED = """shifted AS (SELECT job, pos, s + 350 AS s, e + 350 AS e FROM words), near AS (
   SELECT x.job, x.pos, c.id, least(x.e, c."end") - greatest(x.s, c.start) AS over, abs((x.s + x.e) / 2 - (c.start + c."end") / 2) AS far
   FROM shifted x JOIN clauses c ON c.job = x.job)"""
 
@@ -149,7 +149,7 @@ def latest_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c.c_custkey AS job, x.k AS place, o.o_orderkey AS id, o.o_orderstatus AS status
-  FROM customer c, LATERAL (SELECT unnest(range(0, 4)) AS k) x JOIN orders o ON o.o_orderkey = c.c_custkey * 7 + x.k * 3 WHERE c.c_custkey % 2 = 0""")
+  FROM customer c, LATERAL (SELECT unnest(range(0, 4)) AS k) x JOIN orders o ON o.o_orderkey = c.c_custkey * 7 + x.k * 3""")
 def id_array_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN17: a JSON array of ids looked up, order kept, missing ones dropped."""
     ids = F.to_json(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("c_custkey") * 7 + k * 3))
@@ -183,7 +183,7 @@ def member_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""WITH v AS (SELECT d.doc_id, regexp_matches(text, '(?i)license|password') AS rejected, quality = 0 AS bad, list_filter(string_split(lower(left(text, 60)), ' '), lambda x: length(x) >= 9) AS tokens
+@query("""WITH v AS (SELECT d.doc_id, regexp_matches(text, '(?i)license|password') AS rejected, quality = 0 AS bad, list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 9) AS tokens
   FROM documents d JOIN labels USING (doc_id)), m AS (SELECT * FROM v WHERE rejected <> bad),
 a AS (SELECT CASE WHEN len(tokens) = 0 THEN 'unresolved' WHEN bad THEN 'hard_add' ELSE 'hard_remove' END AS action, unnest(CASE WHEN len(tokens) = 0 THEN ['doc ' || doc_id] ELSE tokens END) AS token FROM m)
 SELECT action, token, count(*) AS n FROM a GROUP BY 1, 2""")
@@ -240,7 +240,7 @@ def overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.self_overlap(t, ["job", "src"], "pos", ("a", "b"), bucket=MS, least=200).select("job", "src", "pos", "earlier")
 
 
-@query("""SELECT doc_id, lang, coalesce(quality, -1) AS quality, text LIKE '%license%' AS named FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0""")
+@query("""SELECT doc_id, lang, coalesce(quality, -1) AS quality, text LIKE '%license%' AS named FROM documents LEFT JOIN labels USING (doc_id)""")
 def profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN19: units with their profiles, the right side's columns winning."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(-1).alias("quality"), F.col("text").contains("license").alias("named"))

@@ -122,7 +122,7 @@ def stage_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rerun_from(x, "position", F.col("job") % 4 + 2, {"status": F.lit("pending")})
 
 
-@query(with_tables("jobs") + """, w AS (SELECT DISTINCT 'draft-' || c_custkey AS title FROM customer WHERE c_custkey <= 60), u AS (SELECT DISTINCT lower(title) AS t FROM jobs WHERE id % 3 > 0),
+@query(with_tables("jobs") + """, w AS (SELECT DISTINCT 'draft-' || c_custkey AS title FROM customer), u AS (SELECT DISTINCT lower(title) AS t FROM jobs WHERE id % 3 > 0),
 c AS (SELECT w.title, k, CASE WHEN k = 0 THEN w.title ELSE w.title || '-' || k END AS name FROM w, range(0, 12) r(k))
 SELECT title, arg_min(name, k) AS free_name FROM c WHERE lower(name) NOT IN (SELECT t FROM u) GROUP BY title""")
 def first_free_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import io
 import json
 import math
 import os
+import random
 import struct
 import wave
 
@@ -269,3 +270,27 @@ def test_near_repeats(spark, tmp_path):
 def test_unbuilt_methods_are_not_claimed():
     assert "TOPK5" not in (fold_queries.beam_arrange.__doc__ + D.arrange.__doc__)
     assert "STR10" not in (fold_queries.lcs_align.__doc__ + D.align_texts.__doc__)
+
+
+def test_merged_blocks_of_a_long_chain(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(1000), 300)
+    rows = [(1, names[k], [k, k + 1]) for k in range(300)] + [(1, 5000, [900]), (2, 7, [1, 2]), (2, 3, [2]), (2, 9, [5])]
+    blocks = spark.createDataFrame(rows, "job long, root long, members array<long>")
+    merged = G.merged_blocks(blocks, "job")
+    got = {(r.job, r.block): r.members for r in merged.collect()}
+    assert got == {(1, min(names)): list(range(301)), (1, 5000): [900], (2, 3): [1, 2], (2, 9): [5]}
+    plan = spark.createDataFrame([(2, 1, 77), (2, 2, 5), (2, 3, 2), (2, 4, 5), (2, 5, 1)], "job long, pos long, id long")
+    assert [(r.place, r.block, r.members) for r in G.ordered_blocks(merged, plan, "job").orderBy("place").collect()] == [(1, 9, [5]), (2, 3, [1, 2])]
+
+
+def test_pair_similarity_by_either_way(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdef") for _ in range(30)) for _ in range(6)]
+    texts = [b[:i] + "xy" + b[i + 2 :] for b in base for i in (0, 8, 20)] + ["", "ab", None, "aaaaaaaaaa", "aaaaaaaa", base[0]]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "job long, id long, t string")
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if all(texts[k] and len(texts[k]) >= 6 for k in (a, b)) and len(pairs(texts[a]) & pairs(texts[b])) >= 0.6 * len(pairs(texts[a]) | pairs(texts[b]))}
+    for few in (64, 2):
+        got = S.pair_similarity(rows, "job", "id", "t", least=0.6, few=few).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 15

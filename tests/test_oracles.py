@@ -48,19 +48,3 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-#: Queries over a whole table whose SQL reads a part of it, and what cuts the SQL's part out and what stands there without it.
-WHOLE = {"profile_join": (" WHERE doc_id % 2 = 0", ""), "max_overlap_assign": (" WHERE pos % 5 = 0", ""), "id_array_lookup": (" WHERE c.c_custkey % 2 = 0", ""), "first_free_suffix": (" WHERE c_custkey <= 60", ""), "rule_patch": ("left(text, 60)", "text")}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_table(spark, duck, name):
-    """The rows of the SQL without its cut: no row of the table is left out."""
-    sql = catalog.ORACLES[name]
-    assert WHOLE[name][0] in sql
-    want = duck.sql(sql.replace(*WHOLE[name]))
-    cols = sorted(want.columns)
-    at = [want.columns.index(c) for c in cols]
-    got = Counter(tuple(plain(r[c]) for c in cols) for r in catalog.QUERIES[name](spark, SF).collect())
-    assert got == Counter(tuple(plain(r[k]) for k in at) for r in want.fetchall())
