@@ -74,13 +74,14 @@ def smallest_capacity(items: Column, shards: int, *, fluid: bool = False, rounds
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["high"]
 
 
-def _open_items(items: Column, low: Column, early: Column, late: Column) -> Column:
-    """Prefixes of the items to look into: those of several groups that are large, or if none is, in which a cut can fall.
+def _spans(early: Column, late: Column) -> Column:
+    """The sums of sizes (a, b) between which each cut lies."""
+    return F.transform(F.arrays_zip(early.alias("a"), late.alias("b")), lambda w: F.struct(w["a"].alias("a"), F.coalesce(w["b"], F.lit(2**62)).alias("b")))
 
-    early, late: the sums of sizes between which each cut lies.
-    """
+
+def _open_items(items: Column, low: Column, spans: Column) -> Column:
+    """Prefixes of the items to look into: those of several groups that are large, or if none is, in which a cut can fall."""
     large = F.transform(F.filter(items, lambda x: ~x["atom"] & (2 * x["size"] > low)), lambda x: x["prefix"])
-    spans = F.transform(F.arrays_zip(early.alias("a"), late.alias("b")), lambda w: F.struct(w["a"].alias("a"), F.coalesce(w["b"], F.lit(2**62)).alias("b")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -104,10 +105,11 @@ def minimax_cuts(rows: DataFrame, shards: int, *, digits: int = 4, more_digits:
     grid = materialize(_grid(rows, digits))
     while True:
         items = F.col("items")
-        one = grid.agg(F.sort_array(F.collect_list(F.struct("prefix", "size", "atom"))).alias("items"))
+        # Each step is written: what the next one's lambdas name must be a column, not an expression run again for each item.
+        one = materialize(grid.agg(F.sort_array(F.collect_list(F.struct("prefix", "size", "atom"))).alias("items")))
         one = materialize(one.select("items", smallest_capacity(items, shards).alias("high"), smallest_capacity(items, shards, fluid=True).alias("low")))
-        cut = one.select("items", "high", "low", F.when(F.col("low") < F.col("high"), _open_items(items, F.col("low"), _greedy(items, F.col("low"), False)["cuts"], _greedy(items, F.col("high"), True)["cuts"])).otherwise(F.array().cast("array<string>")).alias("open"))
-        found = materialize(cut.select(F.explode("open").alias("prefix")))
+        cut = materialize(one.where("low < high").select("items", "low", _spans(_greedy(items, F.col("low"), False)["cuts"], _greedy(items, F.col("high"), True)["cuts"]).alias("spans")))
+        found = materialize(cut.select(F.explode(_open_items(items, F.col("low"), F.col("spans"))).alias("prefix")))
         lengths = [r[0] for r in found.select(F.length("prefix")).distinct().limit(32).collect()]
         if not lengths:
             break
