@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *NEW)
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", most_unseen: float = 0.15, least_score: float = 0.0, **options) -> DataFrame:
+def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", most_unseen: float = 0.3, least_score: float = 0.0, **options) -> DataFrame:
     """The rows of docs in a learned language, with their columns as they are, whatever their names.
 
     Null texts and texts without letters go, and texts of which more than most_unseen of the trigrams are in no learned
