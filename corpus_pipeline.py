@@ -16,7 +16,7 @@ from cuelattice.llm.queries import word_bpe
 from cuelattice.llm.secrets import redact_secrets
 
 #: Documents of which a larger share of trigrams is in no learned language are rejected.
-MOST_UNSEEN = 0.15
+MOST_UNSEEN = 0.3
 
 #: SQL has no tokenizer and no mixture inference.
 ORACLE_SQL = None
