@@ -14,8 +14,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -429,17 +430,18 @@ def dependency_dedup(rows: DataFrame, *, job: str = "job", order: str = "id", le
 
 
 def longest_common(a: str, b: str) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, a part of STR10."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    """Places of a longest common subsequence, the earliest in b that still allows its length."""
+    left, right = (np.fromiter(map(ord, x), np.int64, len(x)) for x in (a, b))
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of the rests from i and j
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        row = np.where(right == left[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    while best[i, j]:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+        elif best[i + 1, j] == best[i, j]:
             i += 1
         else:
             j += 1
@@ -556,10 +558,52 @@ def greatest_counters(value: Any, names: set[str]) -> dict[str, int]:
     return out
 
 
-def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, openings: int = 8, width: int = 60, least_relevance: float = 0.4, least_candidates: int = 3) -> DataFrame:
+UNIT = ["id", "start", "end", "topic", "claim", "strength", "relevance", "hook", "role", "needs", "independent", "usable"]
+
+
+def unit_columns(units: DataFrame) -> list[Column]:
+    """The columns of units that an order is judged by; without scenes none is known."""
+    return [*map(F.col, UNIT), F.col("scene") if "scene" in units.columns else F.lit(None).cast("string").alias("scene")]
+
+
+def violations(film: list[Row], low: float, high: float, *, second: float = 1.0, weak: float = 0.4, least_hook: float = 0.5, relevant: float = 0.6) -> list[tuple[Any, str]]:
+    """AGG6: (id, code) of what is wrong with an order; validate.film_audit gives the same as rows."""
+    if not film:
+        return [(None, "empty")]
+    first, out = film[0], []
+    length = sum(u["end"] - u["start"] for u in film)
+    if not first["independent"] or len(first["needs"]) or first["hook"] < least_hook:
+        out.append((first["id"], "weak_opening"))
+    if not low <= length <= high:
+        out.append((first["id"], "duration_outside_target"))
+    shown, told, before, scene_time, elapsed, product_at = set(), set(), None, 0.0, 0.0, None
+    for u in film:
+        span = u["end"] - u["start"]
+        same_scene = before is not None and u["scene"] is not None and u["scene"] == before["scene"]
+        scene_time = scene_time + span if same_scene else span
+        broken = {
+            "missing_context": not shown.issuperset(u["needs"]),
+            "repeated_claim": u["claim"] in told,
+            "weak_run": before is not None and before["strength"] < weak and u["strength"] < weak,
+            "long_scene": u["scene"] is not None and scene_time > 25 * second,
+        }
+        out += [(u["id"], code) for code, is_so in broken.items() if is_so]
+        if product_at is None and u["relevance"] >= relevant:
+            product_at = elapsed
+        elapsed += span
+        before = u
+        shown.add(u["id"])
+        told.add(u["claim"])
+    if product_at is None or product_at > 12 * second:
+        out.append((first["id"], "late_product"))
+    return out
+
+
+def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, openings: int = 8, width: int = 60, least_relevance: float = 0.4, least_candidates: int = 3, second: float = 1.0) -> DataFrame:
     """TOPK4: orders of a job's units by beam search: (job, candidate, strategy, ids, duration, score, selected).
 
-    units: id, start, end, topic, claim, strength, relevance, hook, role, needs, independent, usable. An order opens with an
+    units: id, start, end, topic, claim, strength, relevance, hook, role, needs, independent, usable, and scene if
+    there is one; second: what one second is in the unit of times. An order opens with an
     independent unit of hook 0.5 or more, repeats no claim and plays what a unit needs before it. Three strategies rank
     partial orders: by the leading role, by strength, by unbroken topics. Jobs with fewer than least_candidates different
     orders give none.
@@ -567,12 +611,10 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
 
     def score(seq: list[Row], floor: float) -> float:
         n = len(seq)
-        length = sum(u["end"] - u["start"] for u in seq)
         jumps = sum(a["topic"] != b["topic"] for a, b in zip(seq, seq[1:], strict=False)) / max(1, n - 1)
         repeats = 1 - len({u["claim"] for u in seq}) / n
         kept = 0.25 * seq[0]["hook"] + 0.35 * sum(u["strength"] for u in seq) / n + 0.25 * sum(u["relevance"] for u in seq) / n + 0.15 * (1 - jumps) - repeats
-        weak = sum(a["strength"] < 0.4 and b["strength"] < 0.4 for a, b in zip(seq, seq[1:], strict=False))
-        return round(100 * max(0.0, min(1.0, kept)) - 20 * (weak + (length < floor)), 3)
+        return round(100 * max(0.0, min(1.0, kept)) - 20 * len(violations(seq, floor, high, second=second)), 3)
 
     def step(rows: list[Row]) -> Iterator[Row]:
         free = [r for r in rows if r["usable"] and r["relevance"] >= least_relevance]
@@ -587,8 +629,16 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
         total = lambda s: sum(u["end"] - u["start"] for u in s)
         seen: dict[tuple, tuple[str, list[Row]]] = {}
         others: dict[tuple, list[Row]] = {}
+        known: dict[tuple, float] = {}  # the strategies meet the same orders
+
+        def plain(s: list[Row]) -> float:
+            ids = tuple(u["id"] for u in s)
+            if ids not in known:
+                known[ids] = score(s, 0)
+            return known[ids]
+
         for name, bonus in extra.items():
-            rank = lambda s, b=bonus: score(s, 0) + b(s) + 0.3 * min(total(s), low)
+            rank = lambda s, b=bonus: plain(s) + b(s) + 0.3 * min(total(s), low)
             beam, done = [[s] for s in starts], []
             for _ in range(len(free)):
                 done += [s for s in beam if low <= total(s) <= high]
@@ -614,5 +664,54 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
         for k, (ids, name, length, value) in enumerate(scored):
             yield {"candidate": f"c{k}", "strategy": name, "ids": list(ids), "duration": float(length), "score": value, "selected": ids == chosen}
 
-    cols = ["id", "start", "end", "topic", "claim", "strength", "relevance", "hook", "role", "needs", "independent", "usable"]
-    return ordered_fold(units.select(job, *cols), [job], ["id"], step, "candidate string, strategy string, ids array<long>, duration double, score double, selected boolean")
+    return ordered_fold(units.select(job, *unit_columns(units)), [job], ["id"], step, "candidate string, strategy string, ids array<long>, duration double, score double, selected boolean")
+
+
+def review_orders(units: DataFrame, orders: DataFrame, remarks: DataFrame, *, job: str = "job", low: float, high: float, rounds: int = 3, least_relevance: float = 0.4, second: float = 1.0) -> DataFrame:
+    """TOPK5: the selected order of each job after at most rounds reviews: passed, rounds, initial_ids, ids, duration, replaced.
+
+    orders: as arrange gives them. remarks: what a reviewer says, (job, attempt, id, reason); a null attempt is said in
+    every round, a null id of the whole film, an id that isn't shown nothing. A unit with a remark or violation gives way
+    to the strongest one not shown, of its topic or role, with which the film has no violation; if none gives way, the
+    best other order takes over (the next best in the second round). Nothing passes that still has a remark or violation.
+    """
+    films = units.select(job, *unit_columns(units)).groupBy(job).agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in UNIT if c != "id"], F.col("scene").cast("string").alias("scene")))).alias("units"))
+    plans = orders.groupBy(job).agg(F.sort_array(F.collect_list(F.struct("candidate", "ids", "score", "selected"))).alias("orders"))
+    said = remarks.groupBy(job).agg(F.sort_array(F.collect_list(F.struct("attempt", "id", "reason"))).alias("remarks"))
+    rows = plans.join(films, job).join(said, job, "left")
+
+    def step(held: list[Row]) -> Iterator[Row]:
+        r = held[0]
+        by_id = {u["id"]: u for u in r["units"]}
+        ranked = sorted(r["orders"], key=lambda o: -o["score"])
+        now = next(o for o in r["orders"] if o["selected"])
+        film = [by_id[i] for i in now["ids"]]
+        replaced, passed, attempt = [], False, 0
+        for attempt in range(rounds):
+            shown = [u["id"] for u in film]
+            heard = [(m["id"], m["reason"]) for m in r["remarks"] or [] if m["attempt"] in (None, attempt) and (m["id"] is None or m["id"] in shown)]
+            wrong = violations(film, low, high, second=second) + heard
+            passed = not wrong
+            if passed or attempt == rounds - 1:
+                break
+            count = len(replaced)
+            for unit, reason in wrong:
+                at = next((k for k, u in enumerate(film) if u["id"] == unit), None)
+                if at is None:
+                    continue
+                old, shown = film[at], {u["id"] for u in film}
+                spare = [u for u in r["units"] if u["usable"] and u["id"] not in shown and u["relevance"] >= least_relevance and (u["topic"] == old["topic"] or u["role"] is not None and u["role"] == old["role"])]
+                trials = ([*film[:at], u, *film[at + 1 :]] for u in sorted(spare, key=lambda u: -u["strength"]))
+                good = next((t for t in trials if not violations(t, low, high, second=second)), None)
+                if good:
+                    replaced.append({"attempt": attempt, "old": str(unit), "new": str(good[at]["id"]), "reason": reason})
+                    film = good
+            others = [o for o in ranked if o["ids"] != [u["id"] for u in film]]
+            if count == len(replaced) and others:
+                to = others[min(attempt, len(others) - 1)]
+                replaced.append({"attempt": attempt, "old": now["candidate"], "new": to["candidate"], "reason": "whole_film"})
+                now, film = to, [by_id[i] for i in to["ids"]]
+        first = next(o for o in r["orders"] if o["selected"])
+        yield {"passed": passed, "rounds": attempt + 1, "initial_ids": first["ids"], "ids": [u["id"] for u in film], "duration": float(sum(u["end"] - u["start"] for u in film)), "replaced": replaced}
+
+    return ordered_fold(rows, [job], [], step, "passed boolean, rounds int, initial_ids array<long>, ids array<long>, duration double, replaced array<struct<attempt:int,old:string,new:string,reason:string>>")

@@ -24,14 +24,15 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     keys or bounds match nothing. how: inner, or left to keep the left rows without a match.
     """
     ls, le, rs, re_ = (F.col(c) for c in (*left_span, *right_span))
-    tagged = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    a = _bucketed(tagged.where(ls.isNotNull() & le.isNotNull()), ls, le, bucket, "_bucket")
+    own = list(dict.fromkeys([*keys, *left_span]))  # what a match depends on; rows get no numbers, which a retried task could change
+    asked = left.select(*own).distinct() if how == "left" else left
+    a = _bucketed(asked.where(ls.isNotNull() & le.isNotNull()), ls, le, bucket, "_bucket")
     b = _bucketed(right.where(rs.isNotNull() & re_.isNotNull()), rs, re_, bucket, "_bucket")
     pairs = a.join(b, [*keys, "_bucket"]).where((ls < re_ - slack) & (le > rs + slack)).where(F.col("_bucket") == F.floor(F.greatest(ls, rs) / bucket)).drop("_bucket")
     if how != "left":
         return pairs
     extra = [c for c in right.columns if c not in keys]
-    return tagged.join(pairs.select("_row", *extra), "_row", "left").drop("_row")
+    return left.join(pairs.select(*own, *extra), own, "left").select(*left.columns, *extra)
 
 
 def map_range(pairs: DataFrame, span: tuple[str, str], segment: tuple[str, str], source_start: str, speed: Column) -> DataFrame:
@@ -51,12 +52,12 @@ def first_slice(mapped: DataFrame, keys: list[str], order: list[str], fields: li
 
 def owner_join(points: DataFrame, spans: DataFrame, keys: list[str], at: Column, span: tuple[str, str], rank: str, *, bucket: float, slack: float = 1e-6) -> DataFrame:
     """JOIN4: each point with the rank of the first span (by rank) that holds it, ends included; null without one."""
-    tagged = points.withColumns({"_row": F.monotonically_increasing_id(), "_at": at})
-    a = tagged.withColumn("_bucket", F.floor(F.col("_at") / bucket).cast("long"))
+    tagged = points.withColumn("_at", at)
+    a = tagged.select(*keys, "_at").distinct().withColumn("_bucket", F.floor(F.col("_at") / bucket).cast("long"))
     b = _bucketed(spans.select(*keys, *span, rank), F.col(span[0]) - slack, F.col(span[1]) + slack, bucket, "_bucket")
     hit = a.join(b, [*keys, "_bucket"]).where((F.col("_at") >= F.col(span[0]) - slack) & (F.col("_at") <= F.col(span[1]) + slack))
-    owner = hit.groupBy("_row").agg(F.min(rank).alias("owner"))
-    return tagged.join(owner, "_row", "left").drop("_row", "_at")
+    owner = hit.groupBy(*keys, "_at").agg(F.min(rank).alias("owner"))
+    return tagged.join(owner, [*keys, "_at"], "left").select(*points.columns, "owner")
 
 
 def rebase(segments: DataFrame, job: str, order: str, span: tuple[str, str]) -> DataFrame:
@@ -95,23 +96,21 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, ot
 
     Buckets of that width: a partner lies in the point's own or a neighbouring bucket.
     """
-    tagged = left.withColumn("_row", F.monotonically_increasing_id())
     own = F.floor(F.col(at) / within).cast("long")
-    a = tagged.withColumn("_bucket", F.explode(F.array(own - 1, own, own + 1)))
+    a = left.select(*keys, at).distinct().withColumn("_bucket", F.explode(F.array(own - 1, own, own + 1)))
     b = right.select(*keys, other_at, rank).withColumn("_bucket", F.floor(F.col(other_at) / within).cast("long"))
     far = F.abs(F.col(at) - F.col(other_at))
-    hit = a.join(b, [*keys, "_bucket"]).where(far <= within).groupBy("_row").agg(F.min(F.struct(far.alias("distance"), F.col(rank).alias("nearest"))).alias("_n"))
-    return tagged.join(hit, "_row", "left").select(*left.columns, F.col("_n.nearest").alias("nearest"), F.col("_n.distance").alias("distance"))
+    hit = a.join(b, [*keys, "_bucket"]).where(far <= within).groupBy(*keys, at).agg(F.min(F.struct(far.alias("distance"), F.col(rank).alias("nearest"))).alias("_n"))
+    return left.join(hit, [*keys, at], "left").select(*left.columns, F.col("_n.nearest").alias("nearest"), F.col("_n.distance").alias("distance"))
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, other_at: str, rank: str, *, within: float) -> DataFrame:
     """JOIN10: the first right row by rank whose time differs by less than within; adds matched, null without one."""
-    tagged = left.withColumn("_row", F.monotonically_increasing_id())
     own = F.floor(F.col(at) / within).cast("long")
-    a = tagged.withColumn("_bucket", F.explode(F.array(own - 1, own, own + 1)))
+    a = left.select(*keys, at).distinct().withColumn("_bucket", F.explode(F.array(own - 1, own, own + 1)))
     b = right.select(*keys, other_at, rank).withColumn("_bucket", F.floor(F.col(other_at) / within).cast("long"))
-    hit = a.join(b, [*keys, "_bucket"]).where(F.abs(F.col(at) - F.col(other_at)) < within).groupBy("_row").agg(F.min(rank).alias("matched"))
-    return tagged.join(hit, "_row", "left").drop("_row")
+    hit = a.join(b, [*keys, "_bucket"]).where(F.abs(F.col(at) - F.col(other_at)) < within).groupBy(*keys, at).agg(F.min(rank).alias("matched"))
+    return left.join(hit, [*keys, at], "left").select(*left.columns, "matched")
 
 
 def top_by_distance(left: DataFrame, right: DataFrame, keys: list[str], item: str, at: str, other_at: str, rank: str, *, most: int = 6) -> DataFrame:

@@ -141,10 +141,12 @@ def copy_review(rows: DataFrame, profile: Profile, *, job: str = "job", pos: str
     return out.select(job, "dangling_references", "dangling_continuations", "product_jumps", "color_jumps", "repeated_conclusions", "opening_score", density.alias("information_density"), "errors", final.alias("score"))
 
 
-def film_audit(units: DataFrame, edges: DataFrame, *, job: str = "job", pos: str = "pos", low: float, high: float, weak: float = 0.4, least_hook: float = 0.5) -> DataFrame:
-    """JOIN22, AGG6's violations: weak or dependent openings, length outside the target, missing context, repeated claims, weak runs.
+def film_audit(units: DataFrame, edges: DataFrame, *, job: str = "job", pos: str = "pos", low: float, high: float, weak: float = 0.4, least_hook: float = 0.5, second: float = 1.0, scene_seconds: float = 25, product_seconds: float = 12, relevant: float = 0.6) -> DataFrame:
+    """JOIN22, AGG6's violations: weak or dependent openings, length outside the target, missing context, repeated claims, weak runs, one scene for too long, the product too late.
 
-    units: claim, strength, hook, start, end; edges: (job, pos, need) where need is the pos that must come before.
+    units: claim, strength, hook, start, end; independent, scene (null if unknown) and relevance are judged where there
+    are such columns; edges: (job, pos, need) where need is the pos that must come before. second: what one second is in
+    the unit of times.
     """
     w = Window.partitionBy(job).orderBy(pos)
     x = units.withColumns({"_k": F.row_number().over(w), "_again": F.row_number().over(Window.partitionBy(job, "claim").orderBy(pos)) > 1, "_before": F.lag("strength").over(w)})
@@ -154,8 +156,20 @@ def film_audit(units: DataFrame, edges: DataFrame, *, job: str = "job", pos: str
     leans = need.select(job, pos).distinct().withColumn("_leans", F.lit(True))
     first = x.where("_k = 1").join(leans, [job, pos], "left")
     total = units.groupBy(job).agg(F.sum(F.col("end") - F.col("start")).alias("_t"), F.min(pos).alias("first"))
+    more, length, opens = [], F.col("end") - F.col("start"), (F.col("hook") < least_hook) | F.col("_leans")
+    if "independent" in units.columns:
+        opens = opens | ~F.col("independent")
+    if "scene" in units.columns:
+        cut = units.withColumn("_cut", F.when(F.col("scene").eqNullSafe(F.lag("scene").over(w)), 0).otherwise(1)).withColumn("_scene", F.sum("_cut").over(w))
+        shown = cut.withColumn("_for", F.sum(length).over(Window.partitionBy(job, "_scene").orderBy(pos)))
+        more.append(_issue(shown.where(F.col("scene").isNotNull() & (F.col("_for") > scene_seconds * second)), job, "long_scene", "error", pos))
+    if "relevance" in units.columns:
+        passed = units.withColumn("_at", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        product = passed.groupBy(job).agg(F.min(F.when(F.col("relevance") >= relevant, F.col("_at"))).alias("_at"), F.min(pos).alias("first"))
+        more.append(_issue(product.where(F.col("_at").isNull() | (F.col("_at") > product_seconds * second)), job, "late_product", "error", "first"))
     return distinct_issues(union([
-        _issue(first.where((F.col("hook") < least_hook) | F.col("_leans")), job, "weak_opening", "error", pos),
+        *more,
+        _issue(first.where(opens), job, "weak_opening", "error", pos),
         _issue(total.where((F.col("_t") < low) | (F.col("_t") > high)), job, "duration_outside_target", "error", "first"),
         _issue(late, job, "missing_context", "error", pos),
         _issue(x.where("_again"), job, "repeated_claim", "error", pos),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.functions.vocab import LATIN
+from cuelattice.operators import alignment as P
 from cuelattice.operators import folds as D
 from cuelattice.operators import validate as V
 from cuelattice.operators.graph import checkpointed
@@ -13,20 +14,39 @@ from cuelattice.operators.scoring import best_label
 from cuelattice.plans import pipelines
 from cuelattice.plans.adapters import atoms, clauses, table, timeline, with_tables, words
 from cuelattice.plans.registry import query
-from cuelattice.plans.text_queries import SPEECH
+from cuelattice.plans.text_queries import EDGE, END, SPEECH, START
 from cuelattice.plans.window_queries import _score, units
 
 
-@query()
+def _word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("job", F.col("pos").alias("id"), F.col("w").alias("text"), F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"))
+
+
+def _runs_sql(together: str) -> str:
+    """Words gathered in order: each joins the run f before it if together holds of f and the word k."""
+    return with_tables("clauses", "words").replace("WITH ", "WITH RECURSIVE ", 1) + f""", k AS (SELECT job, pos AS id, w AS text, s::DOUBLE AS s, e::DOUBLE AS e, row_number() OVER (PARTITION BY job ORDER BY pos) AS rn FROM words),
+f AS (SELECT job, rn, 0::BIGINT AS unit, id AS first, id AS last, 1::BIGINT AS n, s, e, text, text AS tail FROM k WHERE rn = 1 UNION ALL
+  SELECT job, rn, CASE WHEN j THEN unit ELSE unit + 1 END, CASE WHEN j THEN first ELSE id END, id, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN s ELSE s2 END, e2, CASE WHEN j THEN text || t2 ELSE t2 END, t2
+  FROM (SELECT f.*, k.rn AS rn2, k.id, k.s AS s2, k.e AS e2, k.text AS t2, {together} AS j FROM f JOIN k ON k.job = f.job AND k.rn = f.rn + 1) AS x(job, rn1, unit, first, last, n, s, e, text, tail, rn, id, s2, e2, t2, j))
+, runs AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY job, unit ORDER BY rn DESC) = 1) """
+
+
+_BREAK = r"[^\p{L}\p{N}_]"  # DuckDB's \b knows no letters beyond ASCII
+_DANGLING, _DEPENDENT = END.replace(r"\b", f"(?:^|{_BREAK})"), START.replace(r"\b", f"(?:$|{_BREAK})")
+_LEANS = f"(regexp_matches(regexp_replace(f.text, '{EDGE}$', ''), '{_DANGLING}') OR regexp_matches(regexp_replace(k.text, '^{EDGE}', ''), '{_DEPENDENT}'))"
+_FINAL = "regexp_matches(f.{0}, '[。！？!?….]$')"
+
+
+@query(_runs_sql(f"k.s - f.e < 300 - 1e-9 AND NOT {_FINAL.format('tail')} AND k.e - f.s <= 8000 + 1e-9 AND (f.e - f.s < 4000 - 1e-9 OR {_LEANS})") + 'SELECT job, unit, first, last, n, s AS start, e AS "end" FROM runs')
 def build_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN6."""
-    return D.build_units(clauses(spark, sf_dir), LATIN, grow=4000, cap=8000, silence=300, close_up=False).drop("text")
+    """WIN6, over words as the smallest clauses."""
+    return D.build_units(_word_rows(spark, sf_dir), LATIN, grow=4000, cap=8000, silence=300, close_up=False).drop("text")
 
 
-@query()
+@query(_runs_sql(f"k.s - f.e <= 550 AND NOT {_FINAL.format('text')} AND (f.n < 3 AND k.e - f.s <= 6500 OR {_LEANS} AND f.n < 8 AND k.e - f.s <= 18000)") + 'SELECT job, first, n, s AS start, e AS "end" FROM runs')
 def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN7."""
-    return D.merge_blocks(clauses(spark, sf_dir), LATIN, gap=550, soft=(6500, 3), hard=(18_000, 8), close_up=False).drop("text")
+    """WIN7, over words as the smallest blocks."""
+    return D.merge_blocks(_word_rows(spark, sf_dir), LATIN, gap=550, soft=(6500, 3), hard=(18_000, 8), close_up=False).drop("text")
 
 
 @query()
@@ -104,17 +124,58 @@ def lcs_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.align_texts(text.join(chars, ["job", "id"]).withColumn("chars", F.transform("chars", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("w")))))
 
 
+def _picks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clauses as picks that begin late by up to 0.4 s, and all characters of their jobs with interpolated times."""
+    letters = F.filter(F.split("w", ""), lambda c: c != "")
+    each = words(spark, sf_dir).select("job", "s", "e", F.size(letters).alias("n"), F.posexplode(letters).alias("k", "w"))
+    at = lambda k: F.col("s") + (F.col("e") - F.col("s")) * k / F.col("n")
+    chars = each.select("job", at(F.col("k")).alias("s"), at(F.col("k") + 1).alias("e"), "w")
+    return clauses(spark, sf_dir).select("job", "id", (F.col("start") + F.col("id") % 3 * 200).alias("start"), "end", "text"), chars
+
+
 @query()
-def beam_arrange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOPK4."""
+def pick_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIPE8, STR10: every clause found again among the characters of its job."""
+    picks, chars = _picks(spark, sf_dir)
+    return P.align_picks(picks, chars, pad=(400, 600), second=1000, banned=LATIN.hard_pattern).drop("text", "said")
+
+
+@query()
+def pick_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIPE9: the aligned clauses that are clean."""
+    picks, chars = _picks(spark, sf_dir)
+    aligned = P.align_picks(picks, chars, pad=(400, 600), second=1000)
+    issues = V.text_issues(clauses(spark, sf_dir), "job", "id", LATIN, close_up=False).where("level = 'error'").select("job", F.col("first").alias("id"), "code")
+    return P.probe(aligned, issues).select("job", "id", "mode", "word_coverage", F.array_join("issues", ",").alias("issues"), "clean")
+
+
+def _film_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("pos")
-    u = units(spark, sf_dir).select(
+    return units(spark, sf_dir).select(
         "job", F.col("pos").alias("id"), "start", "end", "topic", (v % 8).alias("claim"), "strength", (0.4 + F.col("relevance") / 2).alias("relevance"), (0.5 + F.col("hook") / 2).alias("hook"), "role", F.array().cast("array<bigint>").alias("needs"), F.lit(True).alias("independent"), F.lit(True).alias("usable")
     )
-    return D.arrange(u, low=6000, high=16_000).withColumn("ids", F.array_join("ids", ","))
 
 
 @query()
+def beam_arrange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOPK4."""
+    return D.arrange(_film_units(spark, sf_dir), low=6000, high=16_000, second=1000).withColumn("ids", F.array_join("ids", ","))
+
+
+@query()
+def film_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOPK5: the chosen orders after reviews that object once to each unit of little strength."""
+    u = _film_units(spark, sf_dir)
+    remarks = u.where("strength < 0.2").select("job", F.lit(0).alias("attempt"), "id", F.lit("weak").alias("reason"))
+    out = D.review_orders(u, D.arrange(u, low=6000, high=16_000, second=1000), remarks, low=6000, high=16_000, second=1000)
+    return out.withColumns({"initial_ids": F.array_join("initial_ids", ","), "ids": F.array_join("ids", ","), "replaced": F.size("replaced")})
+
+
+@query(with_tables("timeline").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT job, pos, value % 4 AS shot, row_number() OVER (PARTITION BY job ORDER BY pos) AS rn FROM timeline),
+f AS (SELECT job, pos, rn, [shot] AS used, shot, NULL::BIGINT AS hit FROM k WHERE rn = 1 UNION ALL
+  SELECT job, pos, rn, CASE WHEN hit IS NULL THEN list_append(used, shot) ELSE used END, shot, hit
+  FROM (SELECT k.job, k.pos, k.rn, f.used, k.shot, list_filter(f.used, lambda u: u = k.shot OR (2500 - abs(u - k.shot) * 2000) / 2500 >= 0.5)[1] AS hit FROM f JOIN k ON k.job = f.job AND k.rn = f.rn + 1))
+SELECT job, pos, hit IS NULL AS accepted, CASE WHEN hit = shot THEN 'used' WHEN hit IS NOT NULL THEN 'overlap' END AS reason FROM f""")
 def shot_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN13."""
     t = timeline(spark, sf_dir).select("job", "pos", (F.col("value") % 4).alias("shot"), (F.col("value") % 4 * 2000).alias("start"), (F.col("value") % 4 * 2000 + 2500).alias("end"))
@@ -183,12 +244,14 @@ def copy_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.copy_review(c, LATIN, pos="id", opening=5000, bonus={"result": 32, "pain": 30, "hook": 25, "fit": 24, "proof": 24}, low_value="^(?:The|Le|La)", second=1000)
 
 
-_UNITS = """, u AS (SELECT job, pos, value % 5 AS claim, (value % 10) / 10.0::DOUBLE AS strength, (value % 4) / 4.0::DOUBLE AS hook, start, "end", row_number() OVER (PARTITION BY job ORDER BY pos) AS rn FROM timeline), e AS (SELECT job, pos, pos - 2 AS need FROM timeline WHERE value % 6 = 1),
+_UNITS = """, u AS (SELECT job, pos, value % 5 AS claim, (value % 10) / 10.0::DOUBLE AS strength, (value % 4) / 4.0::DOUBLE AS hook, (value % 7) / 7.0::DOUBLE AS relevance, product AS scene, start, "end", row_number() OVER (PARTITION BY job ORDER BY pos) AS rn FROM timeline), e AS (SELECT job, pos, pos - 2 AS need FROM timeline WHERE value % 6 = 1),
 x AS (SELECT job, 'weak_opening' AS code, pos AS first FROM u WHERE rn = 1 AND (hook < 0.5 OR EXISTS (FROM e WHERE e.job = u.job AND e.pos = u.pos))
   UNION ALL SELECT job, 'duration_outside_target', min(pos) FROM u GROUP BY job HAVING NOT sum("end" - start) BETWEEN 8000 AND 30000
   UNION ALL SELECT e.job, 'missing_context', e.pos FROM e LEFT JOIN u ON u.job = e.job AND u.pos = e.need WHERE u.pos IS NULL OR e.need >= e.pos
   UNION ALL SELECT job, 'repeated_claim', pos FROM (SELECT *, row_number() OVER (PARTITION BY job, claim ORDER BY pos) AS k FROM u) WHERE k > 1
-  UNION ALL SELECT job, 'weak_run', pos FROM (SELECT *, lag(strength) OVER (PARTITION BY job ORDER BY pos) AS b FROM u) WHERE strength < 0.4 AND b < 0.4)
+  UNION ALL SELECT job, 'weak_run', pos FROM (SELECT *, lag(strength) OVER (PARTITION BY job ORDER BY pos) AS b FROM u) WHERE strength < 0.4 AND b < 0.4
+  UNION ALL SELECT job, 'long_scene', pos FROM (SELECT *, sum("end" - start) OVER (PARTITION BY job, run ORDER BY pos) AS shown FROM (SELECT *, sum(cut) OVER (PARTITION BY job ORDER BY pos) AS run FROM (SELECT *, CASE WHEN scene IS NOT DISTINCT FROM lag(scene) OVER (PARTITION BY job ORDER BY pos) THEN 0 ELSE 1 END AS cut FROM u))) WHERE scene IS NOT NULL AND shown > 6000
+  UNION ALL SELECT job, 'late_product', f FROM (SELECT job, min(pos) AS f, min(at_) FILTER (WHERE relevance >= 0.6) AS p FROM (SELECT *, sum("end" - start) OVER (PARTITION BY job ORDER BY pos) - ("end" - start) AS at_ FROM u) GROUP BY job) WHERE p IS NULL OR p > 4000)
 SELECT DISTINCT job, code, 'error' AS level, first, first AS last FROM x"""
 
 
@@ -196,7 +259,8 @@ SELECT DISTINCT job, code, 'error' AS level, first, first AS last FROM x"""
 def film_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN22, AGG6: violations of a whole film."""
     edges = timeline(spark, sf_dir).where("value % 6 = 1").select("job", "pos", (F.col("pos") - 2).alias("need"))
-    return V.film_audit(units(spark, sf_dir), edges, low=8000, high=30_000)
+    films = units(spark, sf_dir).withColumn("scene", F.col("topic"))
+    return V.film_audit(films, edges, low=8000, high=30_000, second=1000, scene_seconds=6, product_seconds=4)
 
 
 @query()
@@ -223,6 +287,6 @@ def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def film_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIPE12: units filtered, arranged and audited."""
     u = units(spark, sf_dir).withColumns({"id": F.col("pos"), "claim": F.col("pos") % 8, "needs": F.array().cast("array<bigint>"), "independent": F.lit(True), "usable": F.col("pos") > 0, "hook": 0.5 + F.col("hook") / 2, "relevance": 0.4 + F.col("relevance") / 2})
-    return pipelines.whole_film(u, low=6000, high=16_000)
+    return pipelines.whole_film(u, low=6000, high=16_000, second=1000)
 
 

@@ -68,15 +68,15 @@ def digest(rows: DataFrame, profile: Profile, *, times: float = 1.0, most: int,
     return round_robin(labelled, "job", "first", "category", [*profile.categories], most=most).select("job", "first", "category", "quality", "start", "end")
 
 
-def whole_film(units: DataFrame, *, low: float, high: float) -> DataFrame:
+def whole_film(units: DataFrame, *, low: float, high: float, second: float = 1.0) -> DataFrame:
     """PIPE12: the selected order of each job that has enough material, with the number of violations.
 
     The orders are checkpointed, as the audit reads them many times.
     """
-    best = checkpointed(D.arrange(units, low=low, high=high).where("selected"))
+    best = checkpointed(D.arrange(units, low=low, high=high, second=second).where("selected"))
     placed = best.select("job", "score", F.posexplode("ids").alias("at", "id"))
     chosen = placed.join(units.drop("pos"), ["job", "id"]).withColumn("pos", F.col("at").cast("long"))
     edges = chosen.select("job", "pos", F.explode("needs").alias("need"))
-    found = V.film_audit(chosen, edges, low=low, high=high).groupBy("job").agg(F.count(F.lit(1)).alias("violations"))
+    found = V.film_audit(chosen, edges, low=low, high=high, second=second).groupBy("job").agg(F.count(F.lit(1)).alias("violations"))
     out = chosen.groupBy("job").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), ",").alias("ids"), F.max("score").alias("score"), F.sum(F.col("end") - F.col("start")).alias("duration"))
     return out.join(found, "job", "left").na.fill(0, ["violations"])

@@ -222,7 +222,7 @@ def test_orders_of_every_job(spark):
     """Jobs of any number get their orders, by the operator's own beam width."""
     u = fold_queries.units(spark, SF)
     asked = u.select("job", F.col("pos").alias("id"), "start", "end", "topic", (F.col("pos") % 8).alias("claim"), "strength", (0.4 + F.col("relevance") / 2).alias("relevance"), (0.5 + F.col("hook") / 2).alias("hook"), "role", F.array().cast("array<bigint>").alias("needs"), F.lit(True).alias("independent"), F.lit(True).alias("usable"))
-    want = {(r.job, r.candidate): (",".join(map(str, r.ids)), r.score) for r in D.arrange(asked, low=6000, high=16_000, width=60).collect()}
+    want = {(r.job, r.candidate): (",".join(map(str, r.ids)), r.score) for r in D.arrange(asked, low=6000, high=16_000, width=60, second=1000).collect()}
     got = fold_queries.beam_arrange(spark, SF).collect()
     assert {(r.job, r.candidate): (r.ids, r.score) for r in got} == want
     films = fold_queries.film_pipeline(spark, SF).collect()
