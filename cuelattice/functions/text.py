@@ -132,6 +132,11 @@ def epoch_seconds(value: Column) -> Column:
     return F.when(value > 1e16, value / 1e9).when(value > 1e13, value / 1e6).when(value > 1e10, value / 1e3).otherwise(value)
 
 
+def utc_text(at: Column) -> Column:
+    """A time as UTC to the second, whatever the session's zone: 2024-05-01T08:00:00+00:00; null stays null."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def target_range(text: Column, low: float = 70.0, high: float = 90.0) -> Column:
     """`min-max` as a struct; anything else has the default."""
     parts = F.split(F.coalesce(text, F.lit("")), "-")

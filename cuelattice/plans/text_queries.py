@@ -182,6 +182,12 @@ def epoch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.epoch_seconds(v).alias("seconds"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at_utc FROM events")
+def utc_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL1: times as UTC texts; the clock itself is the caller's."""
+    return table(spark, sf_dir, "events").select("event_id", T.utc_text(F.col("ts").cast("timestamp")).alias("at_utc"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 70.0 WHEN o_orderkey % 3 = 1 AND o_orderkey % 50 > 0 THEN (o_orderkey % 50)::DOUBLE ELSE 70.0 END::DOUBLE AS low,
   CASE WHEN o_orderkey % 3 = 0 THEN 90.0 WHEN o_orderkey % 3 = 1 AND o_orderkey % 50 > 0 THEN (o_orderkey % 50 + 20)::DOUBLE ELSE 90.0 END::DOUBLE AS high FROM orders""")
 def target_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
