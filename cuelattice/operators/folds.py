@@ -397,16 +397,19 @@ def literal_dedup(clips: DataFrame, *, job: str = "job", order: str = "id", leas
 def dependency_dedup(rows: DataFrame, *, job: str = "job", order: str = "id", least: float = 0.9) -> DataFrame:
     """DUP2: near-duplicates by falling quality, then start; a row that others need replaces one that nobody needs, and two such rows both stay; what is left needs its whole closure. rows: id, text, start, quality, needs."""
 
-    def closed(i: Any, needs: dict[Any, list], path: tuple = ()) -> set | None:
-        if i in path or i not in needs:
-            return None
-        out = {i}
-        for n in needs[i]:
-            more = closed(n, needs, (*path, i))
-            if more is None:
-                return None
-            out |= more
-        return out
+    def whole(needs: dict[Any, list]) -> set:
+        """Ids whose needs all exist and lead into no cycle: those that can be resolved from the ones that need nothing."""
+        left, users = {i: len(set(ns)) for i, ns in needs.items()}, {}
+        for i, ns in needs.items():
+            for n in set(ns):
+                users.setdefault(n, []).append(i)
+        ready = [i for i, n in left.items() if not n]
+        for i in ready:  # grows while it is read
+            for u in users.get(i, ()):
+                left[u] -= 1
+                if not left[u]:
+                    ready.append(u)
+        return set(ready)
 
     def step(rows: list[Row]) -> Iterator[Row]:
         needs = {r[order]: list(r["needs"] if r["needs"] is not None else []) for r in rows}
@@ -421,9 +424,13 @@ def dependency_dedup(rows: DataFrame, *, job: str = "job", order: str = "id", le
                 chosen.append((r[order], key))
             elif r[order] in wanted:
                 chosen[at] = (r[order], key)
-        keep: set = set()
-        for i, _ in chosen:
-            keep |= closed(i, needs) or set()
+        sound = whole(needs)
+        keep, todo = set(), [i for i, _ in chosen if i in sound]
+        while todo:
+            i = todo.pop()
+            if i not in keep:
+                keep.add(i)
+                todo.extend(needs[i])
         return ({"id": r[order]} for r in rows if r[order] in keep)
 
     return ordered_fold(rows.select(job, order, "text", "start", "quality", "needs"), [job], [order], step, "id long")

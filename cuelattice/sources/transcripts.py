@@ -12,12 +12,11 @@ CLAUSES = "clauses array<struct<id:int,start:double,end:double,text:string,usabl
 
 
 def read_words(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SRC4, SRC17, RSH20: (src, pos, s, e, w) of JSON arrays, one file a source; other spellings of keys are taken too. An input without words is an error when it is read."""
-    rows = spark.read.schema(WORDS).json(paths, multiLine=True).withColumns({"src": F.input_file_name(), "_k": F.monotonically_increasing_id()})
-    rows = rows.select("src", F.coalesce("s", "start").alias("s"), F.coalesce("e", "end").alias("e"), F.coalesce("w", "text").alias("w"), F.coalesce("boundary_only", F.lit(False)).alias("boundary_only"), F.col("_k").alias("pos"))
-    if rows.limit(1).count() == 0:
-        raise ValueError("the transcript has no words")
-    return rows
+    """SRC4, SRC17, RSH20: (src, s, e, w, boundary_only, pos) of JSON arrays, one file a source; other spellings of keys are taken too. pos is the place in the file. A file without words is an error when its rows are read."""
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("src"), F.from_json("value", f"array<struct<{WORDS.replace(' ', ':').replace(',:', ',')}>>").alias("ws"))
+    empty = F.raise_error(F.concat(F.lit("the transcript has no words: "), "src")).cast(files.schema["ws"].dataType)
+    rows = files.withColumn("ws", F.when(F.coalesce(F.size("ws"), F.lit(0)) > 0, F.col("ws")).otherwise(empty)).select("src", F.posexplode_outer("ws").alias("pos", "x")).select("src", "pos", "x.*")
+    return rows.select("src", F.coalesce("s", "start").alias("s"), F.coalesce("e", "end").alias("e"), F.coalesce("w", "text").alias("w"), F.coalesce("boundary_only", F.lit(False)).alias("boundary_only"), F.col("pos").cast("long").alias("pos"))
 
 
 def read_sentences(spark: SparkSession, paths: str | list[str]) -> DataFrame:

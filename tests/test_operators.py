@@ -18,6 +18,7 @@ from cuelattice.operators import folds as D
 from cuelattice.operators import graph as G
 from cuelattice.operators import intervals as I
 from cuelattice.operators import rules as R
+from cuelattice.operators import select as P
 from cuelattice.operators import sets as S
 from cuelattice.plans import fold_queries
 from cuelattice.sources import audio, sinks, subtitles, timelines, transcripts
@@ -118,6 +119,9 @@ def test_subtitles(spark, tmp_path):
 def test_transcripts(spark, tmp_path):
     (tmp_path / "w.json").write_text(json.dumps([{"s": 0, "e": 1, "w": "a"}, {"start": 1, "end": 2, "text": "b"}]))
     assert [r.w for r in transcripts.read_words(spark, str(tmp_path / "w.json")).orderBy("s").collect()] == ["a", "b"]
+    (tmp_path / "none.json").write_text("[]")
+    with pytest.raises(Exception, match="no words"):  # one empty file among others
+        transcripts.read_words(spark, [str(tmp_path / "w.json"), str(tmp_path / "none.json")]).collect()
     rec = spark.createDataFrame([(1, [(0.0, 1.0004, " x ", [(0.0, 0.5, " "), (0.5, 1.0, "x")])])], "job long, segments array<struct<start:double,end:double,text:string,words:array<struct<start:double,end:double,word:string>>>>")
     s, w = transcripts.flatten_segments(rec, "job")
     assert s.first().end == 1.0 and w.count() == 1
@@ -294,3 +298,25 @@ def test_pair_similarity_by_either_way(spark):
     for few in (64, 2):
         got = S.pair_similarity(rows, "job", "id", "t", least=0.6, few=few).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 15
+
+
+def test_budgeted_digest(spark):
+    rows = [(1, 0, "a", "xxxx"), (1, 1, "a", "xx"), (1, 2, "b", "x" * 9), (1, 3, "b", "xxx"), (1, 4, "other", "x"), (1, 5, "other", "x" * 9), (1, 6, "other", "x"), (1, 7, "c", "x"), (2, 0, "other", None), (2, 1, "a", "x" * 99)]
+    df = spark.createDataFrame(rows, "job long, id long, category string, text string")
+    take = lambda **k: sorted((r.job, r.id) for r in P.budgeted_digest(df, "job", "id", "category", ["a", "b"], **k).collect())
+    # a: 4 characters, b: 9 exceed 10, a: 2 make 6, b: 3 make 9; other: 1 makes 10, the next exceeds and ends it
+    assert take(most=8, most_chars=10, share=0.5) == [(1, 0), (1, 1), (1, 3), (1, 4), (2, 0)]
+    assert take(most=3, share=0.25) == [(1, 0), (1, 1), (1, 2), (2, 1)]
+    assert take(most=4, share=0.25) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+    assert take(most=12, share=0.25) == [(1, k) for k in (0, 1, 2, 3, 4, 5, 6)] + [(2, 0), (2, 1)]
+
+
+def test_dependency_dedup_of_long_chains(spark):
+    # A chain, and a ladder whose paths can't all be walked.
+    texts = [chr(0x4E00 + 20 * k) * 9 for k in range(60)]
+    chain = [(1, k, texts[k], float(k), 1.0, [k + 1] if k + 1 < 60 else []) for k in range(60)]
+    ladder = [(2, k, texts[k], float(k), 1.0, [j for j in (k + 1, k + 2) if j < 60]) for k in range(60)]
+    broken = [(3, 0, texts[0], 0.0, 1.0, [1]), (3, 1, texts[1], 1.0, 1.0, [2]), (3, 2, texts[2], 2.0, 1.0, [1]), (3, 3, texts[3], 3.0, 1.0, [9]), (3, 4, texts[4], 4.0, 1.0, [])]
+    df = spark.createDataFrame(chain + ladder + broken, "job long, id long, text string, start double, quality double, needs array<long>")
+    kept = {(r.job, r.id) for r in D.dependency_dedup(df).collect()}
+    assert kept == {(j, k) for j in (1, 2) for k in range(60)} | {(3, 4)}
