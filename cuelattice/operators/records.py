@@ -138,6 +138,52 @@ def released(plans: DataFrame, reviews: DataFrame, job: str, digest: str, *, mos
     return plans.join(last, job, "left").withColumn("state", F.when(ok & F.col("_r.passed"), "passed").when(ok, "limit_released").otherwise("held")).drop("_r")
 
 
+def drop_repairs(plan: DataFrame, issues: DataFrame, job: str = "job", *, low: float, high: float) -> DataFrame:
+    """EXT6: plan rows (job, id, start, end, needs) with excluded and repair, from a review's issues (job, ids, action).
+
+    Rows that an issue says to drop or replace are excluded. If a job's issues only say drop, what stays is between low and
+    high seconds and needs nothing that goes, the repair is delete_only: the plan without the excluded rows. Else it is
+    compose, which makes a new order without them. A job without issues has a null repair; an action that is null counts as
+    another one.
+    """
+    gone = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("action").isin("drop", "replace"), F.col("ids")))))
+    per = issues.groupBy(job).agg(F.every(F.coalesce(F.col("action") == "drop", F.lit(False))).alias("_only"), gone.alias("_gone"))
+    rows = plan.join(per, job, "left").withColumn("excluded", F.coalesce(F.array_contains("_gone", F.col("id")), F.lit(False)))
+    w, stays = Window.partitionBy(job), ~F.col("excluded")
+    length = F.coalesce(F.sum(F.when(stays, F.col("end") - F.col("start"))).over(w), F.lit(0.0))
+    torn = F.max(stays & F.coalesce(F.arrays_overlap("needs", "_gone"), F.lit(False))).over(w)
+    rows = rows.withColumn("_ok", F.col("_only") & length.between(low, high) & ~torn)
+    return rows.withColumn("repair", F.when(F.col("_ok"), "delete_only").when(F.col("_only").isNotNull(), "compose")).drop("_only", "_gone", "_ok")
+
+
+def reuse_or_compute(inputs: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], *, job: str = "job", digest: str = "digest") -> DataFrame:
+    """PIPE3: a stage's results, of which only those of jobs whose digest is not among the stored ones are computed.
+
+    inputs has a row for each job with the digest of what the stage reads; stored and what compute gives are results with job
+    and digest, any number of rows for each. A null digest is computed anew. A job whose stored results are empty is too.
+    """
+    keys = [job, digest]
+    held = stored.join(inputs.select(keys).distinct(), keys, "left_semi")
+    return held.unionByName(compute(inputs.join(stored.select(keys).distinct(), keys, "left_anti")))
+
+
+# The reports that the steps of a run write.
+STEP_REPORTS = {
+    "validate": "validation.json",
+    "audit": "bounds_report.json",
+    "audio_acceptance": "audio_acceptance.json",
+    "validate_video_mapping_body": "dual_body_report.json",
+    "qc_body": "qc/body/qc_report.json",
+}
+HOOK_REPORTS = {"validate_video_mapping_hook_": "dual_hook_%s_report.json", "qc_hook_": "qc/hook_%s/qc_report.json"}
+
+
+def report_path(step: Column, reports: dict[str, str] = STEP_REPORTS, labelled: dict[str, str] = HOOK_REPORTS) -> Column:
+    """RSH18: the report that a step writes; labelled has steps whose name ends in a label. Null for any other step."""
+    own = [F.when(step == name, F.lit(path)) for name, path in reports.items()]
+    return F.coalesce(*own, *[F.when(step.startswith(name), F.format_string(path, F.substring(step, len(name) + 1, 2**31 - 1))) for name, path in labelled.items()], F.lit(None).cast("string"))
+
+
 def table_differences(spark: SparkSession, old: DataFrame, new: DataFrame) -> list[tuple[str, str]]:
     """DUP14: columns that one table has and the other has not, or of another type."""
     a, b = dict(old.dtypes), dict(new.dtypes)

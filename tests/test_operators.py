@@ -17,6 +17,7 @@ from cuelattice.functions.vocab import CHINESE, CHINESE_TERMS, merge_layers, rea
 from cuelattice.operators import folds as D
 from cuelattice.operators import graph as G
 from cuelattice.operators import intervals as I
+from cuelattice.operators import records
 from cuelattice.operators import rules as R
 from cuelattice.operators import select as P
 from cuelattice.operators import sets as S
@@ -320,3 +321,25 @@ def test_dependency_dedup_of_long_chains(spark):
     df = spark.createDataFrame(chain + ladder + broken, "job long, id long, text string, start double, quality double, needs array<long>")
     kept = {(r.job, r.id) for r in D.dependency_dedup(df).collect()}
     assert kept == {(j, k) for j in (1, 2) for k in range(60)} | {(3, 4)}
+
+
+def test_drop_repairs(spark):
+    plan = spark.createDataFrame([(j, k, 10.0 * k, 10.0 * k + 10, [k - 1] if k == 2 else []) for j in (1, 2, 3, 4, 5) for k in range(4)], "job long, id long, start double, end double, needs array<long>")
+    issues = spark.createDataFrame([(1, [0], "drop"), (1, [0], "drop"), (2, [1], "drop"), (3, [0], "drop"), (3, [3], "replace"), (4, [0, 3], "drop"), (6, [0], "drop")], "job long, ids array<long>, action string")
+    out = records.drop_repairs(plan, issues, low=25, high=40).collect()
+    assert {r.job: r.repair for r in out} == {1: "delete_only", 2: "compose", 3: "compose", 4: "compose", 5: None}  # 2 needs 1; 3 says replace; 4 gets too short
+    assert {(r.job, r.id) for r in out if r.excluded} == {(1, 0), (2, 1), (3, 0), (3, 3), (4, 0), (4, 3)} and len(out) == 20
+
+
+def test_reuse_or_compute(spark):
+    inputs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "job long, digest string")
+    stored = spark.createDataFrame([(1, "a", "old"), (1, "a", "old2"), (2, "x", "stale"), (9, "z", "gone"), (4, None, "no")], "job long, digest string, value string")
+    out = records.reuse_or_compute(inputs, stored, lambda todo: todo.withColumn("value", F.lit("new")))
+    assert sorted((r.job, r.value) for r in out.collect()) == [(1, "old"), (1, "old2"), (2, "new"), (3, "new"), (4, "new")]
+
+
+def test_report_path(spark):
+    steps = ["validate", "qc_body", "validate_video_mapping_body", "validate_video_mapping_hook_A", "qc_hook_b%s", "other", None]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(steps)], "k long, step string")
+    paths = [r.p for r in df.select("k", records.report_path(F.col("step")).alias("p")).orderBy("k").collect()]
+    assert paths == ["validation.json", "qc/body/qc_report.json", "dual_body_report.json", "dual_hook_A_report.json", "qc/hook_b%s/qc_report.json", None, None]
