@@ -436,37 +436,109 @@ def dependency_dedup(rows: DataFrame, *, job: str = "job", order: str = "id", le
     return ordered_fold(rows.select(job, order, "text", "start", "quality", "needs"), [job], [order], step, "id long")
 
 
+def _match_bits(b: str) -> dict[str, int]:
+    """Of each character of b the places where it stands, counted from b's end, as bits."""
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1]
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+
+
+def _rows_up(a: str, lo: int, hi: int, row: int, bits: dict[str, int], ones: int) -> Iterator[tuple[int, int]]:
+    """From the row of a[hi:] those of a[hi - 1:] to a[lo:]: a zero bit k says that a longest common subsequence with b's last k + 1 characters is one longer than with its last k."""
+    for i in range(hi - 1, lo - 1, -1):
+        u = row & bits.get(a[i], 0)
+        row = (row + u | row - u) & ones
+        yield i, row
+
+
+def common_lengths(a: str, b: str, places: Iterable[int]) -> dict[int, int]:
+    """Lengths of longest common subsequences of a[i:] and b for each of the places i."""
+    wanted, bits, ones = set(places), _match_bits(b), (1 << len(b)) - 1
+    if not wanted:
+        return {}
+    return {i: len(b) - row.bit_count() for i, row in _rows_up(a, min(wanted), len(a), ones, bits, ones) if i in wanted} | {i: 0 for i in wanted if i >= len(a)}
+
+
 def longest_common(a: str, b: str) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, the earliest in b that still allows its length."""
-    left, right = (np.fromiter(map(ord, x), np.int64, len(x)) for x in (a, b))
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of the rests from i and j
-    for i in range(len(a) - 1, -1, -1):
-        row = np.where(right == left[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while best[i, j]:
+    """Places of a longest common subsequence, the earliest in b that still allows its length.
+
+    Rows are bits of one long number; of n rows only about 2 sqrt(n) are held, the others are made again where the walk comes by.
+    """
+    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    out = [(k, k) for k in range(same)]
+    a, b = a[same:], b[same:]
+    if not a or not b:
+        return out
+    n, m = len(a), len(b)
+    bits, ones, each = _match_bits(b), (1 << m) - 1, max(1, int(n**0.5))
+    marks = {n: ones} | {i: row for i, row in _rows_up(a, 0, n, ones, bits, ones) if i % each == 0}
+    held: dict[int, int] = {}
+
+    def row_of(i: int) -> int:
+        if i not in held:
+            hi = min(n, (i // each + 1) * each)
+            held.clear()
+            held[hi] = marks[hi]
+            held.update(_rows_up(a, i // each * each, hi, marks[hi], bits, ones))
+        return held[i]
+
+    def length(row: int, j: int) -> int:
+        return m - j - (row & (1 << m - j) - 1).bit_count()
+
+    wide = -(-m // 8)
+    i, j, row, below = 0, 0, row_of(0), row_of(1)
+    now, then = length(row, 0), length(below, 0)
+    packed = row.to_bytes(wide, "little"), below.to_bytes(wide, "little")
+    while now:
+        if a[i] != b[j] and then != now:  # b's character helps nobody
+            at, bit = divmod(m - 1 - j, 8)
+            now, then, j = now - (~packed[0][at] >> bit & 1), then - (~packed[1][at] >> bit & 1), j + 1
+            continue
         if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] == best[i, j]:
-            i += 1
-        else:
+            out.append((i + same, j + same))
             j += 1
+        i += 1
+        if i == n:
+            break
+        row, below = below, row_of(i + 1)
+        now, then = length(row, j), length(below, j)
+        packed = packed[1], below.to_bytes(wide, "little")
     return out
 
 
+def first_letters(w: pa.Array) -> np.ndarray:
+    """The code points of the first letters of strings; 0 for those without one."""
+    coded = w.dictionary_encode()
+    points = np.array([ord(k[0]) if (k := letters(x)) else 0 for x in coded.dictionary.to_pylist()] + [0], np.uint32)
+    return points[coded.indices.fill_null(len(points) - 1).to_numpy(zero_copy_only=False)]
+
+
 def align_texts(asked: DataFrame, *, job: str = "job", order: str = "id", least: float = 0.6) -> DataFrame:
-    """A text aligned to timed characters by one longest common subsequence (chars: array of (s, e, w)): start and end of what matches, and the share of the text that does; null times below least."""
+    """A text aligned to timed characters by one longest common subsequence (chars: array of (s, e, w)): start and end of what matches, and the share of the text that does; null times below least.
 
-    def step(rows: list[Row]) -> Iterator[Row]:
-        for r in rows:
-            want, chars = letters(r["text"]), [c for c in r["chars"] if letters(c["w"])]
-            pairs = longest_common("".join(letters(c["w"])[0] for c in chars), want)
-            share = len(pairs) / len(want) if want else 0.0
-            good = bool(pairs) and share >= least
-            yield {"id": r[order], "coverage": round(share, 4), "start": float(chars[pairs[0][0]]["s"]) if good else None, "end": float(chars[pairs[-1][0]]["e"]) if good else None}
+    A row depends on no other, so none is moved; a task holds the characters of one row as columns.
+    """
+    ddl = f"{job} {asked.schema[job].dataType.simpleString()}, id long, coverage double, start double, end double"
+    kind = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def one(text: str | None, chars: pa.StructArray) -> tuple[float, float | None, float | None]:
+        want, points = letters(text), first_letters(chars.field("w"))
+        places = np.flatnonzero(points)
+        pairs = longest_common(points[places].tobytes().decode("utf-32-le"), want)
+        share = len(pairs) / len(want) if want else 0.0
+        if not pairs or share < least:
+            return round(share, 4), None, None
+        at = lambda field, pair: float(chars.field(field)[int(places[pair[0]])].as_py())
+        return round(share, 4), at("s", pairs[0]), at("e", pairs[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars, texts = batch.column("chars"), batch.column("text").to_pylist()
+            ends, values = chars.offsets.to_numpy(), chars.values  # a null row has no characters
+            found = [one(t, values.slice(lo, hi - lo)) for t, lo, hi in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            cols = [batch.column(job), batch.column(order).cast(pa.int64()), *([f[k] for f in found] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.float64()) for c in cols], schema=kind)
 
-    return ordered_fold(asked.select(job, order, "text", "chars"), [job], [order], step, "id long, coverage double, start double, end double")
+    return asked.select(job, order, "text", "chars").mapInArrow(run, ddl)
 
 
 def accept_shots(asked: DataFrame, *, job: str = "job", order: str = "pos", most_overlap: float = 0.5) -> DataFrame:
