@@ -77,20 +77,22 @@ def index_gate(text: Column, start: Column, end: Column, profile: Profile, *, le
     return ok & (end - start <= most) if most is not None else ok
 
 
-def coarse_filter(units: DataFrame, *, job: str = "job", pos: str = "id", invalid: str, other: str, product: str = "") -> DataFrame:
+def coarse_filter(units: DataFrame, *, job: str = "job", pos: str = "id", invalid: str, other: str, product: str = "", repeats: str | None = r"(.)\1{7,}") -> DataFrame:
     """FLT8: filter_reason, or null for kept rows; of several reasons the last of these counts.
 
-    operational_content, exact_duplicate (of any earlier row of the job, kept or not), empty_asr, obvious_asr_repetition,
-    explicit_other_product (group 1 of other names a product that neither text nor product has).
+    operational_content, exact_duplicate (of any earlier row of the job, kept or not), empty_asr, obvious_asr_repetition
+    (repeats is found in the letters and digits; None: no such rule), explicit_other_product (group 1 of other names a
+    product that neither text nor product has).
     """
     key = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\W_]+", "")
     rows = units.withColumn("_key", key)
     again = F.row_number().over(Window.partitionBy(job, "_key").orderBy(pos)) > 1
     named = F.regexp_extract("text", other, 1)
     switch = (F.length(named) > 0) & F.lit(bool(product)) & ~F.col("text").contains(product) & ~F.lit(product).contains(named)
+    looped = F.col("_key").rlike(repeats) if repeats is not None else F.lit(False)
     reason = (
         F.when(switch, "explicit_other_product")
-        .when(F.col("_key").rlike(r"(.)\1{7,}"), "obvious_asr_repetition")
+        .when(looped, "obvious_asr_repetition")
         .when(F.col("_key") == "", "empty_asr")
         .when(again, "exact_duplicate")
         .when(F.col("text").rlike(invalid), "operational_content")
