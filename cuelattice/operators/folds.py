@@ -678,6 +678,155 @@ def violations(film: list[Row], low: float, high: float, *, second: float = 1.0,
     return out
 
 
+#: So many free units of a job fit into the code of an order (six bits each); jobs of more are arranged one at a time.
+MOST_CODED = 10
+
+
+def _added(hi: np.ndarray, lo: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A compensated sum and one more value, as Python's sum does it."""
+    t = hi + x
+    big = np.abs(hi) >= np.abs(x)
+    return t, lo + np.where(big, (hi - t) + x, (x - t) + hi)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """round(x, 3): near halves, where a product may err, by Python itself."""
+    y = x * 1000
+    out = np.rint(y) / 1000
+    for k in np.flatnonzero(np.abs(np.abs(y - np.floor(y)) - 0.5) < 1e-6):
+        out[k] = round(float(x[k]), 3)
+    return out
+
+
+def _codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values by equal numbers, and what is null."""
+    coded = col.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), col.is_null().to_numpy(zero_copy_only=False)
+
+
+def _beams(batch: pa.RecordBatch, job: str, bounds: np.ndarray, *, low: float, high: float, openings: int, width: int, least_relevance: float, least_candidates: int, second: float, weak: float = 0.4, least_hook: float = 0.5, relevant: float = 0.6) -> tuple[list[int], dict[str, np.ndarray]]:
+    """arrange for all jobs of a batch at once (job k: rows bounds[k] to bounds[k + 1], in the order of id): the jobs to arrange one at a time instead, and columns job, ids (codes), size, strategy, duration, score, selected.
+
+    The strategies share one tree of orders; each has its own places in a beam, and an order goes on while any strategy holds it.
+    """
+    num = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    yes = lambda c: batch.column(c).fill_null(False).to_numpy(zero_copy_only=False)
+    start, end, strength, relevance, hook = map(num, ("start", "end", "strength", "relevance", "hook"))
+    span, (topic, _), (role, _), (claim, _), (scene, no_scene) = end - start, *map(_codes, map(batch.column, ("topic", "role", "claim", "scene")))
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    free = yes("usable") & (relevance >= least_relevance)
+    counts = np.bincount(of[free], minlength=len(bounds) - 1)
+    alone = np.flatnonzero(counts > MOST_CODED)
+    free &= counts[of] <= MOST_CODED
+    rows = np.flatnonzero(free)  # of the free units, by job and id
+    counts = np.bincount(of[rows], minlength=len(bounds) - 1)
+    first = np.cumsum(counts) - counts
+    of, start, end, span, strength, relevance, hook, topic, role, claim, scene, no_scene = (x[rows] for x in (of, start, end, span, strength, relevance, hook, topic, role, claim, scene, no_scene))
+    place = np.arange(len(rows)) - first[of]
+    bit = np.int64(1) << place
+    each = np.repeat(np.arange(len(rows)), counts[of])  # pairs of free units of a job
+    other = np.arange(len(each)) - np.repeat(np.cumsum(counts[of]) - counts[of], counts[of]) + first[of[each]]
+    pair = lambda same: np.bincount(each[same], weights=bit[other[same]].astype(np.float64), minlength=len(rows)).astype(np.int64)
+    blocked = bit | pair(claim[each] == claim[other])
+    needs = batch.column("needs").take(pa.array(rows)).to_pylist() if batch.column("needs").values.slice(0, 1) else None
+    has, need = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+    if needs is not None:
+        ids = batch.column("id").take(pa.array(rows)).to_pylist()
+        for k, ns in enumerate(needs):
+            if ns:
+                at, n = first[of[k]], counts[of[k]]
+                has[k] = True
+                for i in ns:
+                    need[k] |= next((1 << j for j in range(n) if ids[at + j] == i), 1 << 62)  # a bit that no order has
+    if len(rows):
+        alike = np.bincount(each[role[each] == role[other]], minlength=len(rows))
+        most = np.zeros(len(counts), np.int64)
+        np.maximum.at(most, of, alike)
+        leads = np.flatnonzero(alike == most[of])[::-1]
+        lead = np.full(len(counts), -1)
+        lead[of[leads]] = role[leads]  # the first of equals is written last
+    opening = np.flatnonzero(yes("independent")[rows] & ~has & (hook >= least_hook))
+    opening = opening[np.lexsort((-hook[opening], of[opening]))]
+    rank_in = lambda groups: np.arange(len(groups)) - np.searchsorted(groups, groups)
+    at = rank_in(of[opening])
+    opening, at = opening[at < openings], at[at < openings]
+
+    u, n = opening, 1
+    zero = np.zeros(len(u))
+    s = {"job": of[u], "mask": blocked[u], "shown": bit[u], "last": u, "code": place[u] + 1, "total": span[u], "total_lo": zero, "power": strength[u], "power_lo": zero, "near": relevance[u], "near_lo": zero, "jumps": zero, "weak": zero, "long": zero, "elapsed": span[u], "scene": span[u], "hook": hook[u], "lead": (role[u] == lead[of[u]]).astype(np.float64) if len(u) else zero}
+    s["long"] = (~no_scene[u] & (span[u] > 25 * second)).astype(np.float64)
+    s["product"] = np.where(relevance[u] >= relevant, 0.0, np.nan)
+    s["at"], s["on"] = np.stack([at] * 3), np.ones((3, len(u)), bool)
+    done: list[dict[str, np.ndarray]] = []
+
+    def judge(s: dict[str, np.ndarray], n: int) -> None:
+        power, total = s["power"] + s["power_lo"], s["total"] + s["total_lo"]
+        kept = 0.25 * s["hook"] + 0.35 * power / n + 0.25 * (s["near"] + s["near_lo"]) / n + 0.15 * (1 - s["jumps"] / max(1, n - 1))
+        wrong = s["weak"] + s["long"] + ~(s["product"] <= 12 * second)
+        s["base"], s["wrong"], s["length"] = 100 * np.clip(kept, 0.0, 1.0), wrong, total
+        plain = _rounded(s["base"] - 20 * (wrong + ~((total >= 0) & (total <= high))))
+        more = 0.3 * np.minimum(total, low)
+        s["rank"] = np.stack([plain + b + more for b in (3 * s["lead"], 3 * power, 3 * (n - 1 - s["jumps"]))])
+
+    while len(s["job"]):
+        judge(s, n)
+        if n > 1:
+            for k in range(3):
+                alive = np.flatnonzero(s["on"][k])
+                order = alive[np.lexsort((s["at"][k][alive], -s["rank"][k][alive], s["job"][alive]))]
+                s["at"][k][order] = rank_in(s["job"][order])
+            s["on"] &= s["at"] < width
+        good = np.flatnonzero((s["length"] >= low) & (s["length"] <= high) & s["on"].any(axis=0))
+        done.append({c: s[c][..., good] for c in ("job", "code", "length", "base", "wrong", "rank", "at", "on")} | {"n": np.full(len(good), n)})
+        # the next unit
+        held = np.flatnonzero(s["on"].any(axis=0))
+        size = counts[s["job"][held]]
+        p = np.repeat(held, size)
+        u = np.arange(len(p)) - np.repeat(np.cumsum(size) - size, size) + first[s["job"][p]]
+        ok = (s["mask"][p] & bit[u]) == 0
+        p, u = p[ok], u[ok]
+        ok = (s["length"][p] + end[u]) - start[u] <= high
+        if needs is not None:
+            ok &= (need[u] & ~s["shown"][p]) == 0
+        p, u = p[ok], u[ok]
+        last, step = s["last"][p], span[u]
+        c = {"job": s["job"][p], "mask": s["mask"][p] | blocked[u], "shown": s["shown"][p] | bit[u], "last": u, "code": s["code"][p] << 6 | place[u] + 1, "hook": s["hook"][p]}
+        for name, x in (("total", step), ("power", strength[u]), ("near", relevance[u])):
+            c[name], c[name + "_lo"] = _added(s[name][p], s[name + "_lo"][p], x)
+        c["jumps"] = s["jumps"][p] + (topic[last] != topic[u])
+        c["weak"] = s["weak"][p] + ((strength[last] < weak) & (strength[u] < weak))
+        c["scene"] = np.where((scene[last] == scene[u]) & ~no_scene[u], s["scene"][p] + step, step)
+        c["long"] = s["long"][p] + (~no_scene[u] & (c["scene"] > 25 * second))
+        c["product"] = np.where(np.isnan(s["product"][p]) & (relevance[u] >= relevant), s["elapsed"][p], s["product"][p])
+        c["elapsed"] = s["elapsed"][p] + step
+        c["lead"] = s["lead"][p] + (role[u] == lead[c["job"]])
+        c["at"], c["on"] = s["at"][:, p] * 64 + place[u], s["on"][:, p]
+        s, n = c, n + 1
+
+    d = {c: np.concatenate([x[c] for x in done], axis=-1) for c in done[0]} if done else None
+    if d is None or not len(d["job"]):
+        return alone.tolist(), {}
+    left, picks = np.ones(len(d["job"]), bool), []
+    for k in range(3):
+        best = np.full(len(counts), -np.inf)
+        able = np.flatnonzero(left & d["on"][k])
+        np.maximum.at(best, d["job"][able], d["rank"][k][able])
+        top = able[d["rank"][k][able] == best[d["job"][able]]]
+        top = top[np.lexsort((d["at"][k][top], d["n"][top], d["job"][top]))]
+        top = top[rank_in(d["job"][top]) == 0]
+        left[top] = False
+        picks.append(top)
+    found = np.bincount(d["job"][np.concatenate(picks)], minlength=len(counts))
+    several = np.bincount(d["job"], minlength=len(counts))
+    alone = np.concatenate([alone, np.flatnonzero((found < max(3, least_candidates)) & (several >= least_candidates))])  # others fill up
+    full = np.flatnonzero((found == 3) & (found >= least_candidates))
+    chosen = np.stack([x[np.searchsorted(d["job"][x], full)] for x in picks], axis=1) if len(full) else np.zeros((0, 3), np.int64)
+    score = _rounded((d["base"] - 20 * d["wrong"])[chosen.ravel()]).reshape(-1, 3)
+    selected = np.arange(3) == score.argmax(axis=1)[:, None]
+    flat = chosen.ravel()
+    return sorted(set(alone.tolist())), {"job": d["job"][flat], "code": d["code"][flat], "n": d["n"][flat], "strategy": np.tile(np.arange(3), len(full)), "duration": d["length"][flat], "score": score.ravel(), "selected": selected.ravel(), "rows": rows, "first": first}
+
+
 def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, openings: int = 8, width: int = 60, least_relevance: float = 0.4, least_candidates: int = 3, second: float = 1.0) -> DataFrame:
     """TOPK4: orders of a job's units by beam search: (job, candidate, strategy, ids, duration, score, selected).
 
@@ -743,7 +892,44 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
         for k, (ids, name, length, value) in enumerate(scored):
             yield {"candidate": f"c{k}", "strategy": name, "ids": list(ids), "duration": float(length), "score": value, "selected": ids == chosen}
 
-    return ordered_fold(units.select(job, *unit_columns(units)), [job], ["id"], step, "candidate string, strategy string, ids array<long>, duration double, score double, selected boolean")
+    names = ["focus", "density", "continuity"]
+    ddl = f"{job} {units.schema[job].dataType.simpleString()}, candidate string, strategy string, ids array<long>, duration double, score double, selected boolean"
+    kind = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def arranged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of whole jobs, one after the other."""
+        code = _codes(rows.column(job))[0]
+        bounds = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]])
+        alone, d = _beams(rows, job, bounds, low=low, high=high, openings=openings, width=width, least_relevance=least_relevance, least_candidates=least_candidates, second=second)
+        if d:
+            back = 6 * (d["n"].repeat(d["n"]) - 1 - (np.arange(d["n"].sum()) - np.repeat(np.cumsum(d["n"]) - d["n"], d["n"])))
+            at = (d["code"].repeat(d["n"]) >> back & 63) - 1 + d["first"][d["job"].repeat(d["n"])]
+            ids = rows.column("id").cast(pa.int64()).take(pa.array(d["rows"][at]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d["n"])]).astype(np.int32)), ids)
+            words = [pa.array(x).take(pa.array(d["strategy"])) for x in (["c0", "c1", "c2"], names)]
+            cols = [rows.column(job).take(pa.array(bounds[d["job"]])), *words, lists, *(pa.array(d[c]) for c in ("duration", "score", "selected"))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, kind, strict=True)], schema=kind)
+        for k in alone:
+            held = rows.slice(bounds[k], bounds[k + 1] - bounds[k]).to_pylist()
+            out = [{**r, job: held[0][job]} for r in step(held)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):  # so much at once stays in the processor's memory
+                part = batch.slice(at, 2000)
+                rest = part if rest is None else pa.concat_batches([rest, part])
+                code = _codes(rest.column(job))[0]
+                edge = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
+                if edge:
+                    yield from arranged(rest.slice(0, edge))
+                    rest = rest.slice(edge)
+        if rest is not None and rest.num_rows:
+            yield from arranged(rest)
+
+    return units.select(job, *unit_columns(units)).repartition(job).sortWithinPartitions(job, "id").mapInArrow(run, ddl)
 
 
 def review_orders(units: DataFrame, orders: DataFrame, remarks: DataFrame, *, job: str = "job", low: float, high: float, rounds: int = 3, least_relevance: float = 0.4, second: float = 1.0) -> DataFrame:
