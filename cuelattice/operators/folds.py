@@ -705,7 +705,7 @@ def _codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _beams(batch: pa.RecordBatch, job: str, bounds: np.ndarray, *, low: float, high: float, openings: int, width: int, least_relevance: float, least_candidates: int, second: float, weak: float = 0.4, least_hook: float = 0.5, relevant: float = 0.6) -> tuple[list[int], dict[str, np.ndarray]]:
-    """arrange for all jobs of a batch at once (job k: rows bounds[k] to bounds[k + 1], in the order of id): the jobs to arrange one at a time instead, and columns job, ids (codes), size, strategy, duration, score, selected.
+    """arrange for all jobs of a batch at once (job k: rows bounds[k] to bounds[k + 1], in the order of id): the jobs to arrange one at a time instead, and columns job, code (of the ids), n, strategy, duration, score, selected, wrong (violations).
 
     The strategies share one tree of orders; each has its own places in a beam, and an order goes on while any strategy holds it.
     """
@@ -824,11 +824,11 @@ def _beams(batch: pa.RecordBatch, job: str, bounds: np.ndarray, *, low: float, h
     score = _rounded((d["base"] - 20 * d["wrong"])[chosen.ravel()]).reshape(-1, 3)
     selected = np.arange(3) == score.argmax(axis=1)[:, None]
     flat = chosen.ravel()
-    return sorted(set(alone.tolist())), {"job": d["job"][flat], "code": d["code"][flat], "n": d["n"][flat], "strategy": np.tile(np.arange(3), len(full)), "duration": d["length"][flat], "score": score.ravel(), "selected": selected.ravel(), "rows": rows, "first": first}
+    return sorted(set(alone.tolist())), {"job": d["job"][flat], "code": d["code"][flat], "n": d["n"][flat], "strategy": np.tile(np.arange(3), len(full)), "duration": d["length"][flat], "score": score.ravel(), "wrong": d["wrong"][flat], "selected": selected.ravel(), "rows": rows, "first": first}
 
 
-def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, openings: int = 8, width: int = 60, least_relevance: float = 0.4, least_candidates: int = 3, second: float = 1.0) -> DataFrame:
-    """TOPK4: orders of a job's units by beam search: (job, candidate, strategy, ids, duration, score, selected).
+def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, openings: int = 8, width: int = 60, least_relevance: float = 0.4, least_candidates: int = 3, second: float = 1.0, audited: bool = False) -> DataFrame:
+    """TOPK4: orders of a job's units by beam search: (job, candidate, strategy, ids, duration, score, selected), and audited the number of violations.
 
     units: id, start, end, topic, claim, strength, relevance, hook, role, needs, independent, usable, and scene if
     there is one; second: what one second is in the unit of times. An order opens with an
@@ -890,10 +890,10 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
         best = max(x[3] for x in scored)
         chosen = next(x[0] for x in scored if x[3] == best)
         for k, (ids, name, length, value) in enumerate(scored):
-            yield {"candidate": f"c{k}", "strategy": name, "ids": list(ids), "duration": float(length), "score": value, "selected": ids == chosen}
+            yield {"candidate": f"c{k}", "strategy": name, "ids": list(ids), "duration": float(length), "score": value, "selected": ids == chosen, "violations": len(violations(seen[ids][1], low, high, second=second))}
 
     names = ["focus", "density", "continuity"]
-    ddl = f"{job} {units.schema[job].dataType.simpleString()}, candidate string, strategy string, ids array<long>, duration double, score double, selected boolean"
+    ddl = f"{job} {units.schema[job].dataType.simpleString()}, candidate string, strategy string, ids array<long>, duration double, score double, selected boolean" + ", violations long" * audited
     kind = to_arrow_schema(_parse_datatype_string(ddl))
 
     def arranged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -907,7 +907,7 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
             ids = rows.column("id").cast(pa.int64()).take(pa.array(d["rows"][at]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d["n"])]).astype(np.int32)), ids)
             words = [pa.array(x).take(pa.array(d["strategy"])) for x in (["c0", "c1", "c2"], names)]
-            cols = [rows.column(job).take(pa.array(bounds[d["job"]])), *words, lists, *(pa.array(d[c]) for c in ("duration", "score", "selected"))]
+            cols = [rows.column(job).take(pa.array(bounds[d["job"]])), *words, lists, *(pa.array(d[c]) for c in ("duration", "score", "selected", *["wrong"] * audited))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, kind, strict=True)], schema=kind)
         for k in alone:
             held = rows.slice(bounds[k], bounds[k + 1] - bounds[k]).to_pylist()

@@ -10,8 +10,6 @@ from cuelattice.functions.text import letters_key
 from cuelattice.functions.vocab import Profile
 from cuelattice.operators import folds as D
 from cuelattice.operators import intervals as I
-from cuelattice.operators import validate as V
-from cuelattice.operators.graph import checkpointed
 from cuelattice.operators.islands import merge_runs
 from cuelattice.operators.rules import flag_clauses, index_gate
 from cuelattice.operators.scoring import best_label, quality_score
@@ -71,12 +69,8 @@ def digest(rows: DataFrame, profile: Profile, *, times: float = 1.0, most: int,
 def whole_film(units: DataFrame, *, low: float, high: float, second: float = 1.0) -> DataFrame:
     """PIPE12: the selected order of each job that has enough material, with the number of violations.
 
-    The orders are checkpointed, as the audit reads them many times.
+    Each order is audited where it is made (validate.film_audit gives the same violations as rows), so units are read once.
     """
-    best = checkpointed(D.arrange(units, low=low, high=high, second=second).where("selected"))
-    placed = best.select("job", "score", F.posexplode("ids").alias("at", "id"))
-    chosen = placed.join(units.drop("pos"), ["job", "id"]).withColumn("pos", F.col("at").cast("long"))
-    edges = chosen.select("job", "pos", F.explode("needs").alias("need"))
-    found = V.film_audit(chosen, edges, low=low, high=high, second=second).groupBy("job").agg(F.count(F.lit(1)).alias("violations"))
-    out = chosen.groupBy("job").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), ",").alias("ids"), F.max("score").alias("score"), F.sum(F.col("end") - F.col("start")).alias("duration"))
-    return out.join(found, "job", "left").na.fill(0, ["violations"])
+    best = D.arrange(units, low=low, high=high, second=second, audited=True).where("selected")
+    whole = {units.schema[c].dataType.simpleString() for c in ("start", "end")} <= {"int", "bigint"}
+    return best.select("job", F.array_join("ids", ",").alias("ids"), "score", F.col("duration").cast("bigint" if whole else "double").alias("duration"), "violations")
