@@ -324,30 +324,76 @@ def merge_cut_blocks(rows: DataFrame, *, job: str = "job", order: str = "pos", g
     return ordered_fold(rows.select(job, order, "src", "role", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")), [job], [order], step, "first long, src long, role string, n long, start double, end double")
 
 
+class Leaders:
+    """Keys in order, and the first of them that equals a key or is as similar (ratio(key, leader) >= least).
+
+    Only pairs that can be so similar are compared in full. Of m matching characters, 2 m is at least least of both lengths;
+    they are shared characters, and parted into no more blocks than there are characters without a match, nor than b has
+    characters that difflib takes blocks from, all but the last of a block begin shared pairs of characters, and together
+    they are no longer than the longest common subsequence. What was found for a key holds for its copies.
+    """
+
+    def __init__(self, least: float):
+        self.least, self.keys, self.known = least, [], {}
+        self.lengths, self.blocks = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        self.bags = np.zeros((64, 64), np.uint16), np.zeros((64, 256), np.uint16)
+
+    def place(self, key: str) -> tuple[int, bool]:
+        """The leader's number, and whether the key has just become it."""
+        if key in self.known:
+            return self.known[key], False
+        codes = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = (codes[:-1] * 31 + codes[1:]) % 256
+        counted = [np.minimum(np.bincount(x, minlength=n), 65535).astype(np.uint16) for x, n in ((codes % 64, 64), (pairs, 256))]
+        at = next((i for i in self._able(key, *counted) if ratio(key, self.keys[i]) >= self.least), None)
+        new = at is None
+        if new:
+            at = len(self.keys)
+            self._add(key, codes, counted)
+        self.known[key] = at
+        return at, new
+
+    def _able(self, key: str, letters_: np.ndarray, pairs: np.ndarray) -> Iterator[int]:
+        """Leaders that can be as similar, in order."""
+        n, size = len(self.keys), len(key)
+        both = self.lengths[:n] + size
+        need = self.least * both / 2 - 1e-6
+        able = np.flatnonzero(np.minimum(self.lengths[:n], size) >= need)
+        if size < 65_536:  # else a count may not fit
+            able = able[np.minimum(self.bags[0][able], letters_).sum(axis=1, dtype=np.int64) >= need[able]]
+            blocks = np.minimum(self.blocks[able], both[able] - 2 * need[able] + 1)
+            able = able[np.minimum(self.bags[1][able], pairs).sum(axis=1, dtype=np.int64) >= need[able] - blocks]
+        return (i for i in able.tolist() if common_lengths(key, self.keys[i], [0])[0] >= need[i])
+
+    def _add(self, key: str, codes: np.ndarray, counted: list[np.ndarray]) -> None:
+        n = len(self.keys)
+        if n == len(self.lengths):
+            self.lengths, self.blocks, *bags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.blocks, *self.bags))
+            self.bags = tuple(bags)
+        each = np.unique(codes, return_counts=True)[1]
+        self.keys.append(key)
+        self.lengths[n] = len(key)
+        self.blocks[n] = each[each <= len(key) // 100 + 1].sum() if len(key) >= 200 else len(key)  # difflib's autojunk
+        for bag, x in zip(self.bags, counted, strict=True):
+            bag[n] = x
+
+
 def greedy_near_duplicates(rows: DataFrame, *, job: str = "job", order: str = "id", text: str = "text", least: float = 0.9) -> DataFrame:
     """DUP1, DUP5, JOIN23: (job, id, duplicate_of): the first kept row whose normal key is equal or as similar; empty keys are never duplicates.
 
-    A pair's ratio can't be over twice the shorter length over both, nor over the shared characters; such pairs aren't
-    compared in full.
+    Leaders says which pairs aren't compared in full.
     """
 
     def step(rows: list[Row]) -> Iterator[Row]:
-        kept: list[tuple[Any, str]] = []
+        leaders, ids = Leaders(least), []
         for r in rows:
-            key = key_of(r[text])
-            match = None
+            key, match = key_of(r[text]), None
             if key:
-                matcher = difflib.SequenceMatcher(None, key, "")
-                for i, k in kept:
-                    if key == k:
-                        match = i
-                        break
-                    matcher.set_seq2(k)
-                    if k and matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and ratio(key, k) >= least:
-                        match = i
-                        break
-            if match is None:
-                kept.append((r[order], key))
+                at, new = leaders.place(key)
+                if new:
+                    ids.append(r[order])
+                else:
+                    match = ids[at]
             yield {"id": r[order], "duplicate_of": match}
 
     return ordered_fold(rows.select(job, order, text), [job], [order], step, "id long, duplicate_of long")
