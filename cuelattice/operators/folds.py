@@ -424,15 +424,18 @@ def literal_dedup(clips: DataFrame, *, job: str = "job", order: str = "id", leas
     """DUP3: leader clusters: a clip joins the first group whose first member is as similar. duplicate_of is the group's best (longest key, longest time, least id), null for itself; empty texts stay alone."""
 
     def step(rows: list[Row]) -> Iterator[Row]:
-        groups: list[list[Row]] = []
+        leaders, groups, blank = Leaders(least), [], []
         for r in rows:
             r["key"] = letters(r["text"])
-            home = next((g for g in groups if r["key"] and g[0]["key"] and (r["key"] == g[0]["key"] or ratio(r["key"], g[0]["key"]) >= least)), None)
-            if home is None:
+            if not r["key"]:
+                blank.append([r])
+                continue
+            at, new = leaders.place(r["key"])
+            if new:
                 groups.append([r])
             else:
-                home.append(r)
-        for g in groups:
+                groups[at].append(r)
+        for g in groups + blank:
             best = max(g, key=lambda r: (len(r["key"]), r["end"] - r["start"], -r[order]))
             for r in g:
                 yield {"id": r[order], "duplicate_of": None if r is best else best[order]}
