@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.operators.folds import Row, letters, longest_common, ordered_fold
+from cuelattice.operators.folds import Row, common_lengths, letters, longest_common, ordered_fold
 from cuelattice.operators.intervals import overlap_join
 
 #: Seconds round a pick that can hold characters its alignment looks at.
@@ -43,16 +43,15 @@ def around(picks: DataFrame, chars: DataFrame, *, job: str, order: str, margin:
 def search(chars: list[Row], want: str, anchor: float, window: tuple[float, float], limit: float) -> Match | None:
     """Of all places in the window where the text's first character stands, the one from which most of the text follows up to limit; of equals the nearest to the anchor."""
     starts, heard = [c["s"] for c in chars], "".join(c["ch"] for c in chars)
-    reach, best = bisect_right(starts, limit), None
-    places = (i for i, at in enumerate(starts) if want and heard[i] == want[0] and window[0] <= at <= window[1])
-    for i in sorted(places, key=lambda i: abs(starts[i] - anchor)):  # a match begins at its place, so a farther one must have more of the text
-        if best is None or reach - i > best.share * len(want):
-            pairs = longest_common(heard[i:reach], want)
-            if pairs and (best is None or len(pairs) > best.share * len(want)):
-                best = Match(len(pairs) / len(want), starts[i], chars[i + pairs[-1][0]]["e"], pairs[-1][1] == len(want) - 1)
-        if best and best.share == 1:
-            break
-    return best
+    reach = bisect_right(starts, limit)
+    places = [i for i in range(bisect_left(starts, window[0]), min(reach, bisect_right(starts, window[1]))) if want and heard[i] == want[0]]
+    if not places:
+        return None
+    most = common_lengths(heard[:reach], want, places)  # one pass tells what follows from every place
+    best = max(most.values())
+    i = min((i for i in places if most[i] == best), key=lambda i: abs(starts[i] - anchor))
+    pairs = longest_common(heard[i:reach], want)
+    return Match(len(pairs) / len(want), starts[i], chars[i + pairs[-1][0]]["e"], pairs[-1][1] == len(want) - 1)
 
 
 def gap_bounds(chars: list[Row], m: Match, second: float) -> tuple[float, float]:
