@@ -16,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -981,6 +982,174 @@ def arrange(units: DataFrame, *, job: str = "job", low: float, high: float, open
     return units.select(job, *unit_columns(units)).repartition(job).sortWithinPartitions(job, "id").mapInArrow(run, ddl)
 
 
+#: Jobs with a longer film than this, or more orders or remarks, are reviewed one at a time.
+MOST_SHOWN = 64
+
+
+def _faults(film: np.ndarray, size: np.ndarray, u: dict[str, np.ndarray], low: float, high: float, second: float, *, weak: float = 0.4, least_hook: float = 0.5, relevant: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+    """violations of many films of units without needs (film: a row of unit numbers, of which size count), a column for each place where one may stand in their list; and the films' lengths."""
+    n, most = film.shape
+    out = np.zeros((n, 3 * most + 3), bool)
+    hi, lo, shown, elapsed, product = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, np.nan)
+    claims = u["claim"][film]
+    for k in range(most):
+        on, x = k < size, film[:, k]
+        span = np.where(on, u["span"][x], 0.0)
+        hi, lo = _added(hi, lo, span)
+        before = film[:, k - 1]
+        same = ~u["no_scene"][x] & (u["scene"][x] == u["scene"][before]) & (k > 0)
+        shown = np.where(same, shown + span, span)
+        out[:, 2 + 3 * k] = on & (claims[:, :k] == claims[:, k : k + 1]).any(axis=1)
+        out[:, 3 + 3 * k] = on & (k > 0) & (u["strength"][before] < weak) & (u["strength"][x] < weak)
+        out[:, 4 + 3 * k] = on & ~u["no_scene"][x] & (shown > 25 * second)
+        product = np.where(np.isnan(product) & on & (u["relevance"][x] >= relevant), elapsed, product)
+        elapsed = elapsed + span
+    length = hi + lo
+    out[:, 0] = ~u["independent"][film[:, 0]] | (u["hook"][film[:, 0]] < least_hook)
+    out[:, 1] = ~((low <= length) & (length <= high))
+    out[:, -1] = ~(product <= 12 * second)
+    return out, length
+
+
+def _spread(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of counts rows, each from its first: (the group, the row) of all rows."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + first[of]
+
+
+def _struct(col: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Lists of structs: their lengths (null: 0), and the fields end to end."""
+    flat = col.flatten()
+    return pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64), dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+
+
+def _reviews(batch: pa.RecordBatch, *, low: float, high: float, rounds: int, least_relevance: float, second: float) -> tuple[list[int], dict[str, pa.Array]]:
+    """review_orders for all jobs of a batch at once (columns units, orders, remarks): the jobs to review one at a time instead, and what comes out for the others, the number of the row as row."""
+    jobs = batch.num_rows
+    (n_units, f), (n_orders, o), (n_said, m) = (_struct(batch.column(c)) for c in ("units", "orders", "remarks"))
+    if rounds < 1 or not (pa.types.is_integer(f["id"].type) and pa.types.is_integer(m["id"].type)):
+        return list(range(jobs)), {}
+    of, o_of, m_of = (np.repeat(np.arange(jobs), n) for n in (n_units, n_orders, n_said))
+    base, o_base = np.cumsum(n_units) - n_units, np.cumsum(n_orders) - n_orders
+    num = lambda c: c.to_numpy(zero_copy_only=False).astype(np.float64)
+    yes = lambda c: c.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    u = {c: num(f[c]) for c in ("strength", "relevance", "hook")} | {"span": num(f["end"]) - num(f["start"]), "independent": yes(f["independent"])}
+    (u["claim"], _), (topic, _), (role, no_role), (u["scene"], u["no_scene"]) = (_codes(f[c]) for c in ("claim", "topic", "role", "scene"))
+    usable, score, o_len = yes(f["usable"]) & (u["relevance"] >= least_relevance), num(o["score"]), pc.fill_null(pc.list_value_length(o["ids"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    # Units by their numbers in the batch.
+    named = o["ids"].flatten()
+    of_named = np.repeat(np.arange(len(o_of)), o_len)
+    ids = pa.concat_arrays([f["id"].cast(pa.int64()), named.cast(pa.int64()), m["id"].cast(pa.int64())])
+    code, absent = _codes(ids)
+    key = np.concatenate([of, o_of[of_named], m_of]) * (int(code.max(initial=0)) + 1) + code
+    order = np.argsort(key[: len(of)], kind="stable")
+    held = key[: len(of)][order]
+    found = np.minimum(np.searchsorted(held, key[len(of) :]), max(0, len(held) - 1))
+    found = np.where(held[found] == key[len(of) :], order[found], -1) if len(held) else np.full(len(found), -1)
+    found[absent[len(of) :]] = -1
+    named_at, said_at, said_none = found[: len(named)], found[len(named) :], absent[len(of) + len(named) :]
+
+    # What isn't plain is reviewed one at a time.
+    odd = (n_said > MOST_SHOWN) | (n_orders > MOST_SHOWN) | (n_units < 1)
+    odd[of[order[1:][held[1:] == held[:-1]]]] = True
+    odd[of[absent[: len(of)] | (pc.fill_null(pc.list_value_length(f["needs"]), 1).to_numpy(zero_copy_only=False) > 0) | ~np.isfinite(u["strength"] + u["relevance"] + u["hook"] + u["span"])]] = True
+    odd[o_of[(o_len < 1) | (o_len > MOST_SHOWN) | ~np.isfinite(score)]] = True
+    odd[o_of[of_named[named_at < 0]]] = True
+    selected = np.flatnonzero(yes(o["selected"]))[::-1]
+    now = np.full(jobs, -1)
+    now[o_of[selected]] = selected  # the first is written last
+    odd |= now < 0
+    live = np.flatnonzero(~odd)
+    if not len(live):
+        return np.flatnonzero(odd).tolist(), {}
+
+    most = int(o_len[~odd[o_of]].max())
+    seqs = np.zeros((len(o_of), most), np.int64)
+    place = np.arange(len(named)) - np.repeat(np.cumsum(o_len) - o_len, o_len)
+    fits = place < most
+    seqs[of_named[fits], place[fits]] = np.maximum(named_at[fits], 0)
+    ranked = np.lexsort((-score, o_of))
+    film, size, initial = seqs[now], o_len[now], now.copy()
+    passed, turns, length = np.zeros(jobs, bool), np.zeros(jobs, np.int64), np.zeros(jobs)
+    col = np.arange(most)
+    within = lambda js, xs: (film[js] == xs[:, None]) & (col < size[js][:, None])
+    events: list[tuple[np.ndarray, int, pa.Array, pa.Array, pa.Array]] = []
+    changed = np.zeros(jobs, bool)
+
+    def give_way(js: np.ndarray, xs: np.ndarray, attempt: int, reason: pa.Array) -> None:
+        """In each of the jobs js the unit xs, if it is shown, to the strongest that can stand there."""
+        hit = within(js, xs)
+        able = np.flatnonzero(hit.any(axis=1))
+        js, xs, at = js[able], xs[able], hit[able].argmax(axis=1)
+        p, c = _spread(n_units[js], base[js])
+        old = xs[p]
+        ok = usable[c] & ((topic[c] == topic[old]) | (~no_role[c] & (role[c] == role[old])))
+        p, c = p[ok], c[ok]
+        ok = ~within(js[p], c).any(axis=1)
+        p, c = p[ok], c[ok]
+        trial = film[js[p]]
+        trial[np.arange(len(p)), at[p]] = c
+        ok = ~_faults(trial, size[js[p]], u, low, high, second)[0].any(axis=1)
+        p, c = p[ok], c[ok]
+        best = np.lexsort((c, -u["strength"][c], p))
+        p, c = p[best], c[best]
+        top = np.flatnonzero(np.diff(p, prepend=-1))
+        p, c = p[top], c[top]
+        if len(p):
+            film[js[p], at[p]] = c
+            changed[js[p]] = True
+            text = f["id"].cast(pa.string())
+            events.append((js[p], attempt, text.take(pa.array(xs[p])), text.take(pa.array(c)), reason.take(pa.array(able[p]))))
+
+    said_in = num(m["attempt"])  # null: nan
+    for attempt in range(rounds):
+        wrong, length[live] = _faults(film[live], size[live], u, low, high, second)
+        heard = np.flatnonzero(np.isnan(said_in) | (said_in == attempt))
+        heard = heard[~odd[m_of[heard]]]
+        heard = heard[said_none[heard] | (said_at[heard] >= 0) & within(m_of[heard], said_at[heard]).any(axis=1)]
+        good = ~wrong.any(axis=1) & (np.bincount(m_of[heard], minlength=jobs)[live] == 0)
+        passed[live], turns[live] = good, attempt + 1
+        live, wrong = live[~good], wrong[~good]
+        if attempt == rounds - 1 or not len(live):
+            break
+        going = np.zeros(jobs, bool)
+        going[live] = True
+        heard = heard[going[m_of[heard]]]
+        changed[:] = False
+        was = film[live]
+        for k in np.flatnonzero(wrong.any(axis=0)):
+            name, at = ("weak_opening", 0) if k == 0 else ("duration_outside_target", 0) if k == 1 else ("late_product", 0) if k == wrong.shape[1] - 1 else (("repeated_claim", "weak_run", "long_scene")[(k - 2) % 3], (k - 2) // 3)
+            rows = np.flatnonzero(wrong[:, k])
+            give_way(live[rows], was[rows, at], attempt, pa.array([name]).take(pa.array(np.zeros(len(rows), np.int64))))
+        nth = np.arange(len(heard)) - np.searchsorted(m_of[heard], m_of[heard])
+        for k in range(int(nth.max(initial=-1)) + 1):
+            rows = heard[(nth == k) & ~said_none[heard]]
+            give_way(m_of[rows], said_at[rows], attempt, m["reason"].take(pa.array(rows)))
+        stuck = live[~changed[live]]
+        p, at = _spread(n_orders[stuck], o_base[stuck])
+        to = ranked[at]
+        other = ((seqs[to] != film[stuck[p]]) & (col < o_len[to][:, None])).any(axis=1) | (o_len[to] != size[stuck[p]])
+        p, to = p[other], to[other]
+        nth = np.arange(len(p)) - np.searchsorted(p, p)
+        pick = nth == np.minimum(attempt, np.bincount(p, minlength=len(stuck))[p] - 1)
+        js, to = stuck[p[pick]], to[pick]
+        events.append((js, attempt, o["candidate"].take(pa.array(now[js])), o["candidate"].take(pa.array(to)), pa.array(["whole_film"]).take(pa.array(np.zeros(len(js), np.int64)))))
+        now[js], film[js], size[js] = to, seqs[to], o_len[to]
+
+    out = np.flatnonzero(~odd)
+    at = np.concatenate([np.zeros(0, np.int64), *(e[0] for e in events)])
+    order = pa.array(np.argsort(at, kind="stable"))
+    text = lambda k: pa.concat_arrays([pa.array([], pa.string()), *(e[k].cast(pa.string()) for e in events)]).take(order)
+    attempts = pa.array(np.repeat(np.array([e[1] for e in events], np.int32), [len(e[0]) for e in events])).take(order)
+    lists = lambda n, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
+    shown = film[out][col < size[out][:, None]]
+    return np.flatnonzero(odd).tolist(), {
+        "row": pa.array(out), "passed": pa.array(passed[out]), "rounds": pa.array(turns[out].astype(np.int32)), "initial_ids": o["ids"].take(pa.array(initial[out])), "ids": lists(size[out], ids.take(pa.array(shown))), "duration": pa.array(length[out]),
+        "replaced": lists(np.bincount(at, minlength=jobs)[out], pa.StructArray.from_arrays([attempts, text(2), text(3), text(4)], ["attempt", "old", "new", "reason"])),
+    }
+
+
 def review_orders(units: DataFrame, orders: DataFrame, remarks: DataFrame, *, job: str = "job", low: float, high: float, rounds: int = 3, least_relevance: float = 0.4, second: float = 1.0) -> DataFrame:
     """TOPK5: the selected order of each job after at most rounds reviews: passed, rounds, initial_ids, ids, duration, replaced.
 
@@ -992,10 +1161,9 @@ def review_orders(units: DataFrame, orders: DataFrame, remarks: DataFrame, *, jo
     films = units.select(job, *unit_columns(units)).groupBy(job).agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in UNIT if c != "id"], F.col("scene").cast("string").alias("scene")))).alias("units"))
     plans = orders.groupBy(job).agg(F.sort_array(F.collect_list(F.struct("candidate", "ids", "score", "selected"))).alias("orders"))
     said = remarks.groupBy(job).agg(F.sort_array(F.collect_list(F.struct("attempt", "id", "reason"))).alias("remarks"))
-    rows = plans.join(films, job).join(said, job, "left")
+    rows = plans.join(films, job).join(said, job, "left").select(job, "units", "orders", "remarks")
 
-    def step(held: list[Row]) -> Iterator[Row]:
-        r = held[0]
+    def step(r: Row) -> Row:
         by_id = {u["id"]: u for u in r["units"]}
         ranked = sorted(r["orders"], key=lambda o: -o["score"])
         now = next(o for o in r["orders"] if o["selected"])
@@ -1026,6 +1194,25 @@ def review_orders(units: DataFrame, orders: DataFrame, remarks: DataFrame, *, jo
                 replaced.append({"attempt": attempt, "old": now["candidate"], "new": to["candidate"], "reason": "whole_film"})
                 now, film = to, [by_id[i] for i in to["ids"]]
         first = next(o for o in r["orders"] if o["selected"])
-        yield {"passed": passed, "rounds": attempt + 1, "initial_ids": first["ids"], "ids": [u["id"] for u in film], "duration": float(sum(u["end"] - u["start"] for u in film)), "replaced": replaced}
+        return {"passed": passed, "rounds": attempt + 1, "initial_ids": first["ids"], "ids": [u["id"] for u in film], "duration": float(sum(u["end"] - u["start"] for u in film)), "replaced": replaced}
 
-    return ordered_fold(rows, [job], [], step, "passed boolean, rounds int, initial_ids array<long>, ids array<long>, duration double, replaced array<struct<attempt:int,old:string,new:string,reason:string>>")
+    ddl = f"{job} {units.schema[job].dataType.simpleString()}, passed boolean, rounds int, initial_ids array<long>, ids array<long>, duration double, replaced array<struct<attempt:int,old:string,new:string,reason:string>>"
+    kind = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("units")), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 20_000, side="right")))  # so many units at once
+                part = batch.slice(lo, hi - lo)
+                lo = hi
+                alone, d = _reviews(part, low=low, high=high, rounds=rounds, least_relevance=least_relevance, second=second)
+                if d:
+                    cols = [part.column(job).take(d.pop("row")), *d.values()]
+                    yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(cols, kind, strict=True)], schema=kind)
+                if alone:
+                    held = part.take(pa.array(alone)).to_pylist()
+                    yield pa.RecordBatch.from_pylist([{**step(r), job: r[job]} for r in held], schema=kind)
+
+    return rows.mapInArrow(run, ddl)
