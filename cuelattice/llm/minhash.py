@@ -186,6 +186,20 @@ def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def marked(docs: DataFrame, ids: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """The rows of docs whose id is one of ids, and by chance a few others, without an exchange of docs.
+
+    The hashes of the ids are bits of at most so many numbers of 64 bits, which every task gets. With 262,144 of them (about
+    10 MB) one other row in 17 stays at a million ids, one in 5 at 3.7 million; more ids let more rows stay and lose none.
+    """
+    at = F.xxhash64("id")
+    word = F.pmod(F.shiftright(at, 6), F.lit(words))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    marks = ids.where("id is not null").groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    rows = docs.where("id is not null").withColumns({"_word": word, "_bit": bit})
+    return rows.join(F.broadcast(marks), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*docs.columns)
+
+
 def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
     """(id, comp) for every end of the edges (a, b), and their number: comp is the smallest id reachable.
 
@@ -253,8 +267,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     discard(every)
     parts = 1 + lists.count() // 25_000
 
-    members = lists.select("id").distinct()
-    sets = materialize(source.join(members, "id", "left_semi").mapInArrow(_set_batches(shingle_words, k), f"id {kind}, sketch array<long>, items binary"))
+    sets = materialize(marked(source, lists.select("id")).mapInArrow(_set_batches(shingle_words, k), f"id {kind}, sketch array<long>, items binary"))
     sketches = sets.select("id", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:

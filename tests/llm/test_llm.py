@@ -657,3 +657,41 @@ def test_pipeline(spark):
     assert p.run(spark, SF).count() == pieces.count()
     assert [n for n, _ in p.STAGES] == ["language_id", "near_duplicates", "secrets", "mixing", "packing"]
     assert p.run.__doc__ and p.ORACLE_SQL is None
+
+
+def test_near_duplicates_never_exchange_texts(spark, monkeypatch):
+    """op10: the texts whose sets are compared are found where they lie, by marks that miss none."""
+    ids = spark.range(0, 3000, 7).union(spark.createDataFrame([(None,), (0,)], "id long"))
+    docs = spark.range(3000).selectExpr("id", "id % 5 as x").union(spark.createDataFrame([(None, 1), (7, 9)], "id long, x long"))
+    want = {(r.id, r.x) for r in docs.where("id % 7 = 0").collect()}
+    for words, most in ((1, 3001), (64, 1600), (1 << 18, 440)):
+        got = [(r.id, r.x) for r in minhash.marked(docs, ids, words).collect()]
+        assert want <= set(got) and len(set(got)) == len(got) <= most
+    named = minhash.marked(docs.selectExpr("cast(id as string) as id", "x"), ids.selectExpr("cast(id as string) as id")).collect()
+    assert {(str(i), x) for i, x in want} <= {(r.id, r.x) for r in named}
+
+    moved, write = [], minhash.materialize
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            moved.append([node.output().apply(k).name() for k in range(node.output().size())])
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    def watched(df, *more):
+        walk(df._jdf.queryExecution().executedPlan())
+        return write(df, *more)
+
+    monkeypatch.setattr(minhash, "materialize", watched)
+    texts = [(k, " ".join(f"w{k // 2 * 10 + j}" for j in range(40)) + f" x{k % 2}") for k in range(40)] + [(99, None)]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in out} == {k: k // 2 * 2 for k in range(40)} | {99: 99}
+    assert moved and not any("text" in names for names in moved)
