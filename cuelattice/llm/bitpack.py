@@ -90,7 +90,7 @@ def _encode_batches(path: str, end_id: int | None, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path)
         block, was = 0, None
-        for batch in sub_batches(batches, 2, 2 << 20):
+        for batch in sub_batches(batches, 2, 8 << 20):  # a word is looked up once in each
             ids, at = tokenizer.encode(batch.column(2))
             if end_id is not None:
                 ids = np.insert(ids, at[1:], np.uint32(end_id))

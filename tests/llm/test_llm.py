@@ -695,3 +695,14 @@ def test_near_duplicates_never_exchange_texts(spark, monkeypatch):
             spark.conf.set(k, v)
     assert {r.doc_id: r.component_id for r in out} == {k: k // 2 * 2 for k in range(40)} | {99: 99}
     assert moved and not any("text" in names for names in moved)
+
+
+def test_token_blocks_hold_several_megabytes(spark, tmp_path):
+    """op7: words are looked up once for 8 MB of text, so a bucket of 5 MB is one block; one of 10 MB is cut."""
+    for n, blocks in ((50, 1), (100, 2)):
+        docs = spark.range(n).selectExpr("id as doc_id", "repeat(concat('some words ', id, ' '), 7500) as text")
+        path = f"{tmp_path}/{n}"
+        bitpack.write_token_blocks(docs, path, word_bpe(), buckets=1)
+        assert spark.read.parquet(path).count() == blocks
+        places = bitpack.read_token_index(spark, path).orderBy("id").collect()
+        assert [r.id for r in places] == list(range(n)) and all(b.start == a.start + a.n_tokens for a, b in itertools.pairwise(places))
