@@ -200,6 +200,11 @@ def marked(docs: DataFrame, ids: DataFrame, words: int = 1 << 18) -> DataFrame:
     return rows.join(F.broadcast(marks), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*docs.columns)
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The ids (id) that pairs (a, b) name, repeated ones included."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
     """(id, comp) for every end of the edges (a, b), and their number: comp is the smallest id reachable.
 
@@ -268,15 +273,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = 1 + lists.count() // 25_000
 
     sets = materialize(marked(source, lists.select("id")).mapInArrow(_set_batches(shingle_words, k), f"id {kind}, sketch array<long>, items binary"))
-    sketches = sets.select("id", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) the links, written: by the estimate of the union's sketch first, then by the full sets."""
-        x, y = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+        """Of the pairs (a, b) the links, written: by the estimate of the union's sketch first, then by the full sets. Only what the pairs name is exchanged."""
+        named = marked(sets.select("id", "sketch"), ends(pairs))
+        x, y = named.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), named.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
         both = pairs.join(x, "a").join(y, "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         likely = both.where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= F.least(F.lit(o), F.ceil(F.size(union) * num / den))).select("a", "b")
-        x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
+        likely = materialize(likely.coalesce(parts))
+        scratch.append(likely)
+        named = marked(sets.select("id", "items"), ends(likely))
+        x, y = named.select(F.col("id").alias("a"), F.col("items").alias("xa")), named.select(F.col("id").alias("b"), F.col("items").alias("xb"))
         with arrow_rows(pairs.sparkSession, 500):
             return materialize(likely.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify_batches(num, den), f"a {kind}, b {kind}").coalesce(parts))
 
@@ -285,14 +293,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     short = lists.where(F.col("c") <= short_list)
     x, y = short.select("v", F.col("id").alias("a"), F.col("n").alias("na")), short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"))
     tested = materialize(x.join(y, "v").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct().coalesce(parts))
-    found = [verified(tested)]
     scratch = [lists, sets, tested]
-    crowd = lists.where(F.col("c") > short_list).select("id", "n").distinct()
-    keyed = materialize(_keyed_lists(sets.select("id", "items").join(crowd, "id"), num, den).coalesce(parts))
-
-    scratch.append(keyed)
+    found = [verified(tested)]
+    crowd = materialize(lists.where(F.col("c") > short_list).select("id", "n").distinct().coalesce(parts))
+    keyed = materialize(_keyed_lists(marked(sets.select("id", "items"), crowd).join(crowd, "id"), num, den).coalesce(parts))
+    scratch += [crowd, keyed]
 
-    comps, n_comps = None, 0
+    comps, n_comps, before = None, 0, None
     for turn in range(pivot_rounds + 1):
         if turn == 0:
             current, last = keyed.withColumn("comp", F.col("id")), False
@@ -307,7 +314,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if not todo[0]:
                 break
             current = current.join(small(keys.select("v", "b1", "b2"), todo[2]), ["v", "b1", "b2"], "left_semi")
-            last = turn == pivot_rounds or todo[0] <= 4 * todo[1]
+            stuck = before is not None and 5 * todo[0] > 4 * before and todo[0] <= 64 * todo[1]  # lists of several components: more pivots settle nothing
+            last, before = turn == pivot_rounds or todo[0] <= 4 * todo[1] or stuck, todo[0]
             first = F.xxhash64("id", F.lit(turn))
         who = F.struct(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("comp").alias("cx"))
         x = current.select("v", "b1", "b2", F.col("own").alias("ox"), who.alias("p"))
